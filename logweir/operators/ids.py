@@ -54,3 +54,25 @@ def dense_by_order(df: DataFrame, order: list[str], name: str, start: int = 1) -
         .withColumn(name, (F.col("_off") + F.col("_m") - F.col("_m0") + start).cast("long"))
         .drop("_p", "_m", "_m0", "_off")
     )
+
+
+def running_sum(
+    df: DataFrame, pos: str, sums: dict[str, str], keys: tuple[str, ...] = (), bucket: int = 1 << 16
+) -> DataFrame:
+    """Inclusive running sums along an integer position.
+
+    ``sums`` maps output names to input columns.  Positions are cut into ranges:
+    totals of the ranges are accumulated first, then each range on its own.
+    """
+    k = list(keys)
+    cut = df.withColumn("_b", F.floor(F.col(pos) / bucket).cast("long"))
+    totals = cut.groupBy(*k, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *k, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    )
+    inside = Window.partitionBy(*k, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(offsets, [*k, "_b"])
+    for n, c in sums.items():
+        out = out.withColumn(n, F.sum(c).over(inside) + F.col(f"_o_{n}"))
+    return out.drop("_b", *[f"_o_{n}" for n in sums])

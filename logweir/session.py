@@ -53,3 +53,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, per_task: int = 8_000) -> DataFrame:
+    """Give a compute-heavy stage enough tasks; a no-op for data that already
+    has them (small tables are otherwise read back as one partition)."""
+    want = min(-(-rows // per_task), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
