@@ -11,9 +11,9 @@ BUCKET = 1 << 20
 
 
 def dense_by_number(
-    df: DataFrame, order: str, name: str, start: int = 1, bucket: int = BUCKET
+    df: DataFrame, order: str, name: str, start: int = 1, bucket: int = BUCKET, tie: str | None = None
 ) -> DataFrame:
-    """Number rows densely by a unique integer column.
+    """Number rows densely by an integer column (``tie`` orders equal values).
 
     Rows are cut into fixed value ranges; each range is ranked on its own (at
     most ``bucket`` rows) and shifted by the running count of the ranges before.
@@ -23,7 +23,7 @@ def dense_by_number(
     sizes = cut.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*[c for c in (order, tie) if c]))
     return (
         cut.withColumn("_r", rank)
         .join(offsets, "_b")

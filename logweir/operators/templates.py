@@ -36,7 +36,7 @@ def number_templates(ev: DataFrame, col: str = "signature") -> DataFrame:
     agg = ev.groupBy(F.col(col).alias("template")).agg(
         F.count("*").alias("size"), F.min("line_id").alias("first_line")
     )
-    return dense_by_number(agg, "first_line", "template_id").select(
+    return dense_by_number(agg, "first_line", "template_id", tie="template").select(
         "template_id", "template", "size", "first_line"
     )
 
@@ -245,7 +245,7 @@ def _numbered(found: DataFrame, seed: DataFrame | None) -> DataFrame:
     start = 1
     if seed is not None:
         start = int(seed.agg(F.coalesce(F.max("template_id"), F.lit(0)).alias("m")).first()["m"]) + 1
-    new = dense_by_number(found.where("seed_id < 0"), "first_line", "template_id", start)
+    new = dense_by_number(found.where("seed_id < 0"), "first_line", "template_id", start, tie="template")
     out = new.select(*cols)
     if seed is None:
         return out

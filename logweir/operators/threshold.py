@@ -17,14 +17,14 @@ def exact_quantile(df: DataFrame, col: str, q: float, exact_rows: int = EXACT_RO
     """
     vals = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
     n = vals.count()
-    return _quantile(vals, n, q * (n - 1), exact_rows) if n else None
+    return _quantile(vals, n, float(q) * (n - 1), exact_rows) if n else None
 
 
 def _quantile(vals: DataFrame, n: int, rank: float, exact_rows: int) -> float:
     """Value at a fractional 0-based rank of the sorted column."""
     if n <= exact_rows or n <= 2:
         at = rank / (n - 1) if n > 1 else 0.0
-        return float(vals.agg(F.percentile("v", F.lit(min(max(at, 0.0), 1.0)))).first()[0])
+        return float(vals.agg(F.percentile("v", F.lit(float(min(max(at, 0.0), 1.0))))).first()[0])
     at = rank / (n - 1)
     slack = 4.0 / ACCURACY
     while True:
