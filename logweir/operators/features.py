@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.operators.ids import dense_by_number
+from logweir.session import materialize
 
 # Fixed value: order of the eight columns after the template counts
 EXTRA = (
@@ -154,7 +155,7 @@ def feature_space(ev_or_vocab: DataFrame, feature_set: str = "full") -> FeatureS
     if feature_set not in FEATURE_SETS:
         raise ValueError(f"feature_set must be one of {FEATURE_SETS}, got {feature_set!r}")
     is_vocab = "col" in ev_or_vocab.columns
-    vocab = ev_or_vocab if is_vocab else template_vocab(ev_or_vocab)
+    vocab = ev_or_vocab if is_vocab else materialize(template_vocab(ev_or_vocab), "vocab")
     return FeatureSpace(vocab, vocab.count(), feature_set)
 
 

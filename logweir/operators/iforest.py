@@ -20,6 +20,7 @@ from logweir.operators.threshold import contamination_offset, flag_anomalies
 from logweir.session import materialize, spread
 
 SUBSAMPLE = 256
+TREES_PER_TASK = 8
 CELLS = 4_000_000  # dense cells scored at a time
 
 
@@ -180,35 +181,30 @@ class Forest:
 
 
 def draw_samples(blk: DataFrame, n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
-    """(tree, idx, val, _h): about two subsamples' worth of rows per tree, cut to
-    ``psi`` by hash order.
+    """(tree, idx, val, _h, _r): ``psi`` rows per tree, chosen by hashes of the
+    block id.
 
-    Few rows: every row tests its membership in each tree by hash.  Many rows: a
-    row is kept by one hash and dealt to one tree, so the shuffle is
+    Trees are split into ``m`` groups and a row is dealt to one tree of each
+    group, with m just big enough that about two subsamples reach every tree.
+    With many rows m is 1 and a first hash thins them out, so the shuffle is
     2 * trees * psi rows however large the input is.
     """
     space = 1 << 31
-    if n <= 4 * n_trees * psi:
-        limit = space if n <= 2 * psi else int(space * 2 * psi / n)
-        member = F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, "block_id").alias("_h")),
-            ),
-            lambda s: F.pmod(s["_h"], F.lit(space)) < limit,
-        )
-        rows = blk.select("block_id", "idx", "val", F.inline(member))
-    else:
-        h = F.xxhash64(F.lit(seed), "block_id")
-        limit = int(space * 2 * n_trees * psi / n)
-        rows = (
-            blk.where(F.pmod(h, F.lit(space)) < limit)
-            .withColumn("_h", F.xxhash64(F.lit(seed + 1), "block_id"))
-            .withColumn("tree", F.pmod("_h", F.lit(n_trees)).cast("int"))
-            .select("block_id", "idx", "val", "tree", "_h")
-        )
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", "block_id"))
-    return rows.withColumn("_r", rank).where(F.col("_r") <= psi)
+    m = max(1, min(n_trees, -(-2 * n_trees * psi // n)))
+    if 2 * n_trees * psi < n:
+        keep = F.pmod(F.xxhash64(F.lit(seed), "block_id"), F.lit(space))
+        blk = blk.where(keep < int(space * 2 * n_trees * psi / n))
+    first = [g * n_trees // m for g in range(m + 1)]
+    group = F.inline(F.array(*[
+        F.struct(F.lit(a).alias("_a"), F.lit(b - a).alias("_w")) for a, b in zip(first, first[1:])
+    ]))
+    dealt = (
+        blk.select("block_id", "idx", "val", group)
+        .withColumn("_h", F.xxhash64(F.lit(seed + 1), "_a", "block_id"))
+        .withColumn("tree", (F.col("_a") + F.pmod("_h", F.col("_w"))).cast("int"))
+    )
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "_h"), "block_id"))
+    return dealt.select("block_id", "tree", "idx", "val", "_h").withColumn("_r", rank).where(F.col("_r") <= psi)
 
 
 @dataclass(frozen=True)
@@ -228,23 +224,30 @@ class IForest:
         seed = self.seed
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-            tree = int(pdf["tree"].iloc[0])
-            pdf = pdf.sort_values("_r")
-            cols = np.unique(np.concatenate([np.asarray(i, np.int64) for i in pdf["idx"]] or [[]]))
-            x = np.zeros((1, len(pdf), max(len(cols), 1)))
-            for r, (i, v) in enumerate(zip(pdf["idx"], pdf["val"])):
-                x[0, r, np.searchsorted(cols, i)] = v
-            f, s, p = grow_trees(x, depth, np.random.default_rng([seed, tree]))
-            f, s, p = f[0], s[0], p[0]
-            node = np.flatnonzero((f >= 0) | (p > 0))
-            if not len(node):
-                node = np.array([0])
-            real = np.where(f >= 0, cols[np.maximum(f, 0)] if len(cols) else -1, -1)
-            return pd.DataFrame(
-                {"tree": tree, "node": node, "feature": real[node], "split": s[node], "path": p[node]}
-            )
-
-        nodes = draw_samples(blk, n, self.n_trees, psi, seed).groupBy("tree").applyInPandas(
+            pdf = pdf.sort_values(["tree", "_r"], ignore_index=True)
+            idx = np.concatenate([np.asarray(i, np.int64) for i in pdf["idx"]] or [[]]).astype(np.int64)
+            val = np.concatenate([np.asarray(v, float) for v in pdf["val"]] or [[]])
+            cols, pos = np.unique(idx, return_inverse=True)
+            x = np.zeros((len(pdf), max(len(cols), 1)))
+            x[np.repeat(np.arange(len(pdf)), pdf["idx"].map(len)), pos] = val
+            real = np.r_[cols, -1] if len(cols) else np.array([-1, -1])
+            out = []
+            # trees with equally many rows grow together; a seed per tree group
+            for rows, part in pdf.groupby(pdf.groupby("tree")["_r"].transform("size")):
+                ids = part["tree"].unique()
+                rng = np.random.default_rng([seed, int(ids[0]), int(rows)])
+                f, s, p = grow_trees(x[part.index].reshape(len(ids), int(rows), -1), depth, rng)
+                used = (f >= 0) | (p > 0)
+                used[:, 0] = True
+                t, node = np.nonzero(used)
+                out.append(pd.DataFrame({
+                    "tree": ids[t], "node": node, "feature": real[f[used]], "split": s[used], "path": p[used],
+                }))
+            return pd.concat(out)
+
+        # a task grows TREES_PER_TASK trees: at most that many times psi rows
+        group = F.floor(F.col("tree") / TREES_PER_TASK)
+        nodes = draw_samples(blk, n, self.n_trees, psi, seed).groupBy(group).applyInPandas(
             grow, "tree long, node long, feature long, split double, path double"
         )
         return Forest.from_nodes(nodes, self.n_trees, depth, psi, self.contamination, None)
@@ -252,7 +255,8 @@ class IForest:
     def fit_decide(self, blk: DataFrame) -> tuple[Forest, DataFrame]:
         """Fit, set the contamination offset from the training scores, decide."""
         n = blk.count()
+        blk = spread(blk, n, 4_000)
         model = self.fit(blk, n)
-        scored = materialize(model.score(spread(blk, n, 4_000)), "scored")
+        scored = materialize(model.score(blk), "scored")
         model.offset = contamination_offset(scored, self.contamination)
         return model, flag_anomalies(scored, model.offset)

@@ -28,7 +28,7 @@ W = X.WILDCARD
 # -- stateless signatures ------------------------------------------------------
 
 def with_signature(ev: DataFrame) -> DataFrame:
-    return ev.withColumn("signature", X.signature(F.col("content")))
+    return ev if "signature" in ev.columns else ev.withColumn("signature", X.signature(F.col("content")))
 
 
 def number_templates(ev: DataFrame, col: str = "signature") -> DataFrame:
@@ -61,8 +61,7 @@ def distinct_signatures(ev: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     literal back: the tree only wildcards positions that differ.
     """
     k = list(keys)
-    toks = X.tokens(F.col("content"))
-    rows = ev.select(*k, X.signature(F.col("content")).alias("signature"), toks.alias("_t"), "line_id")
+    rows = with_signature(ev).select(*k, "signature", X.tokens(F.col("content")).alias("_t"), "line_id")
     marks = F.filter(
         F.transform(F.col("_t"), lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))),
         lambda s: s["tok"].rlike("[0-9]"),
@@ -273,13 +272,14 @@ def _canonical(content: Column, digits: list[str]) -> Column:
 
 def canonical_form(content: Column, templates: DataFrame) -> Column:
     """Text that decides which templates a line matches: digit tokens that no
-    template spells out are masked, everything else is kept."""
+    template spells out are masked, everything else is kept.  Without spelled-out
+    digits that is the ``signature`` column."""
     digits = (
         templates.select(F.explode("tokens").alias("t")).where(F.col("t").rlike("[0-9]"))
         .distinct().limit(LITERAL_DIGITS + 1).collect()
     )
     if not digits:
-        return X.signature(content)
+        return F.col("signature")
     if len(digits) > LITERAL_DIGITS:  # too many to list: match on the whole text
         return F.array_join(X.tokens(content), " ")
     return _canonical(content, [r["t"] for r in digits])
@@ -314,10 +314,10 @@ def match_forms(forms: DataFrame, templates: DataFrame) -> DataFrame:
 def assign_templates(ev: DataFrame, templates: DataFrame) -> DataFrame:
     """Events with template_id and template; unmatched lines get -1 and their
     own content."""
-    with_form = ev.withColumn("form", canonical_form(F.col("content"), templates))
+    with_form = with_signature(ev).withColumn("form", canonical_form(F.col("content"), templates))
     found = match_forms(with_form.select("form").distinct(), templates)
     return (
-        with_form.join(found, "form", "left").drop("form")
+        with_form.join(found, "form", "left").drop("form", "signature")
         .withColumn("template", F.coalesce("template", "content"))
         .withColumn("template_id", F.coalesce("template_id", F.lit(-1)).cast("long"))
     )

@@ -14,7 +14,7 @@ from logweir.operators.iforest import Forest, IForest
 from logweir.operators.incidents import cluster
 from logweir.operators.metrics import detect_totals
 from logweir.operators.parse import parse_with, plan_parse
-from logweir.operators.templates import assign_templates, mine_templates, with_params
+from logweir.operators.templates import assign_templates, mine_templates, with_params, with_signature
 from logweir.session import materialize
 
 
@@ -42,7 +42,7 @@ def templated_events(
     """(events, templates): parsed, mined and matched; events are stored once
     and every later step reads only the columns it needs."""
     plan = plan_parse(lines, log_format)
-    parsed = parse_with(lines, plan)
+    parsed = materialize(with_signature(parse_with(lines, plan)), "parsed")
     templates = materialize(mine_templates(parsed, plan.sim_th, plan.depth, seed), "templates")
     events = materialize(with_params(assign_templates(parsed, templates)), "events")
     return events, templates

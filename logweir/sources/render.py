@@ -74,6 +74,9 @@ def lines_sql(shape: str = "hdfs") -> str:
 def rendered_lines(spark: SparkSession, sf_dir: str, shape: str = "hdfs") -> DataFrame:
     """(line_id, raw) rendered from the events table."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:  # a small table is one split
+        events = events.repartition(cores)
     return spark.sql(_text(shape, _SPARK).replace("from events)", "from {ev})"), ev=events).select(
         F.col("line_id").cast("long"), "raw"
     )
