@@ -78,7 +78,8 @@ def _folder(spark, name: str) -> str:
 
 
 @query("stream_log_source", with_("lines", """
-  select count(*) as lines, cast(sum(len(raw)) as bigint) as characters, cast(count(distinct raw) as bigint) as distinct_lines from lines"""))
+  select count(*) as lines, cast(sum(len(raw)) as bigint) as characters, cast(count(distinct raw) as bigint) as distinct_lines,
+    true as numbered from lines"""))
 def stream_log_source(spark, sf):
     """Every line of the written log through the streaming source."""
     out = _folder(spark, "streamed")
@@ -88,8 +89,13 @@ def stream_log_source(spark, sf):
     )
     q.awaitTermination()
     got = spark.read.parquet(out)
+    per_file = got.groupBy("path").agg(
+        F.count("*").alias("n"), F.count_distinct("line_id").alias("d"), F.max("line_id").alias("last")
+    )
+    numbered = per_file.agg(F.every((F.col("n") == F.col("d")) & (F.col("n") == F.col("last")))).first()[0]
     return got.agg(
-        F.count("*").alias("lines"), F.sum(F.length("raw")).alias("characters"), F.count_distinct("raw").alias("distinct_lines")
+        F.count("*").alias("lines"), F.sum(F.length("raw")).alias("characters"),
+        F.count_distinct("raw").alias("distinct_lines"), F.lit(numbered).alias("numbered"),
     )
 
 
