@@ -27,7 +27,7 @@ EXTRA = (
     "warn_count",
 )
 FEATURE_SETS = ("full", "freq_only")
-LINE_RANGE = 1 << 17  # lines per adjacency piece
+LINE_RANGE = 1 << 20  # lines per adjacency piece
 
 
 def group_blocks(ev: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def template_freq(ev: DataFrame, vocab: DataFrame) -> DataFrame:
     return n.join(vocab.select("template_id"), "template_id", "left_semi")
 
 
-def _stats(per: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def _stats(per: DataFrame, keys: tuple[str, ...] = (), extra: tuple[Column, ...] = ()) -> DataFrame:
     n = F.col("n")
     known = F.col("template_id") >= 0
     seq = F.coalesce(F.sum(F.when(known, n)), F.lit(0))
@@ -70,6 +70,7 @@ def _stats(per: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         F.count_if(known) > 1, F.log2(seq.cast("double")) - weighted / seq
     ).otherwise(F.lit(0.0))
     return per.groupBy(*keys, "block_id").agg(
+        *extra,
         F.sum("n").alias("event_count"),
         F.count_if(known).alias("unique_templates"),
         (F.max("hi") - F.min("lo")).alias("event_span"),
@@ -93,20 +94,22 @@ def sequence_entropy(ev: DataFrame) -> DataFrame:
 def adjacent_pairs(ev: DataFrame, keys: tuple[str, ...] = (), line_range: int = LINE_RANGE) -> DataFrame:
     """(block_id, prev, cur, n): counts of neighbouring template pairs."""
     k = [*keys, "block_id"]
-    seq = group_blocks(ev).where("template_id >= 0").select(
-        *k, "line_id", "template_id", F.floor(F.col("line_id") / line_range).cast("long").alias("piece")
-    )
-    inside = Window.partitionBy(*k, "piece").orderBy("line_id")
-    pairs = seq.select(
-        *k, F.lag("template_id").over(inside).alias("prev"), F.col("template_id").alias("cur")
-    )
-    ends = seq.groupBy(*k, "piece").agg(
-        F.min_by("template_id", "line_id").alias("cur"), F.max_by("template_id", "line_id").alias("last")
-    )
-    across = Window.partitionBy(*k).orderBy("piece")
-    seams = ends.select(*k, F.lag("last").over(across).alias("prev"), "cur")
-    both = pairs.unionByName(seams).where("prev is not null")
-    return both.groupBy(*k, "prev", "cur").agg(F.count("*").alias("n"))
+    seq = group_blocks(ev).where("template_id >= 0").select(*k, "line_id", "template_id")
+    last = ev.agg(F.max("line_id")).first()[0] or 0
+    cur = F.col("template_id").alias("cur")
+    if last < line_range:  # one piece: everything below stays partitioned by block
+        prev = F.lag("template_id").over(Window.partitionBy(*k).orderBy("line_id")).alias("prev")
+        both = seq.select(*k, prev, cur)
+    else:
+        seq = seq.withColumn("piece", F.floor(F.col("line_id") / line_range).cast("long"))
+        inside = Window.partitionBy(*k, "piece").orderBy("line_id")
+        pairs = seq.select(*k, F.lag("template_id").over(inside).alias("prev"), cur)
+        ends = seq.groupBy(*k, "piece").agg(
+            F.min_by("template_id", "line_id").alias("cur"), F.max_by("template_id", "line_id").alias("last")
+        )
+        across = Window.partitionBy(*k).orderBy("piece")
+        both = pairs.unionByName(ends.select(*k, F.lag("last").over(across).alias("prev"), "cur"))
+    return both.where("prev is not null").groupBy(*k, "prev", "cur").agg(F.count("*").alias("n"))
 
 
 def _pair_stats(ev: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -166,15 +169,13 @@ def sparse_features(ev: DataFrame, space: FeatureSpace, keys: tuple[str, ...] =
     The vector stays sparse: its size follows the templates a block really has,
     not the vocabulary.
     """
-    freq = (
-        _by_template(ev, keys).select(*keys, "block_id", "template_id", "n")
-        .join(space.vocab, "template_id")
-        .groupBy(*keys, "block_id")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("col").cast("int").alias("i"), F.col("n").cast("double").alias("v")))).alias("_f"))
-    )
     none = F.array().cast("array<struct<i:int,v:double>>")
+    cell = F.struct(F.col("col").cast("int").alias("i"), F.col("n").cast("double").alias("v"))
+    freq = F.sort_array(F.collect_list(F.when(F.col("col").isNotNull(), cell))).alias("_f")
+    out = _stats(_by_template(ev, keys).join(space.vocab, "template_id", "left"), keys, (freq,))
+    tail = none
     if space.feature_set == "full":
-        base = extra_features(ev, keys)
+        out = _with_pairs(out, ev, keys)
         tail = F.filter(
             F.array(*[
                 F.struct(F.lit(space.size + j).alias("i"), F.col(c).cast("double").alias("v"))
@@ -182,11 +183,7 @@ def sparse_features(ev: DataFrame, space: FeatureSpace, keys: tuple[str, ...] =
             ]),
             lambda s: s["v"] != 0.0,
         )
-    else:
-        base, tail = block_stats(ev, keys), none
-    pairs = F.concat(F.coalesce("_f", none), tail)
-    out = base.join(freq, [*keys, "block_id"], "left").withColumn("_all", pairs)
-    return out.select(
+    return out.withColumn("_all", F.concat("_f", tail)).select(
         *keys,
         "block_id",
         F.col("_all.i").alias("idx"),

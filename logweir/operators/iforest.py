@@ -255,6 +255,9 @@ class IForest:
     def fit_decide(self, blk: DataFrame) -> tuple[Forest, DataFrame]:
         """Fit, set the contamination offset from the training scores, decide."""
         n = blk.count()
+        if n == 0:  # nothing to learn from: an empty table comes back decided
+            model = Forest(np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1)), 1, self.contamination, 0.0)
+            return model, model.decide(blk)
         blk = spread(blk, n, 4_000)
         model = self.fit(blk, n)
         scored = materialize(model.score(blk), "scored")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.operators.dbscan import dbscan
-from logweir.operators.features import standardize
+from logweir.operators.features import dense, standardize
 from logweir.operators.ids import dense_by_order
 from logweir.session import materialize
 
@@ -155,15 +155,22 @@ def digest(members: DataFrame, lines: DataFrame) -> DataFrame:
 
 def cluster_blocks(blk: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFrame:
     """(incident_id, block_id, anomaly_score) of the anomalous blocks; vectors
-    are scaled over the anomalies only."""
-    hot = materialize(anomalies_only(blk).select("block_id", "anomaly_score", "features"), "anomalies")
+    (``features``, or sparse ``idx`` and ``val``) are scaled over the anomalies
+    only, so only the anomalies are ever made dense."""
+    hot = anomalies_only(blk)
+    if "features" in blk.columns:
+        hot = materialize(hot.select("block_id", "anomaly_score", "features"), "anomalies")
+    else:
+        hot = materialize(hot.select("block_id", "anomaly_score", "idx", "val"), "anomalies")
+        last = hot.agg(F.max(F.array_max("idx"))).first()[0]
+        hot = hot.withColumn("features", dense((last if last is not None else -1) + 1)).drop("idx", "val")
     clustered = dbscan(standardize(hot), eps, min_samples).drop("features")
     keyed = materialize(noise_as_singletons(clustered), "clustered")
     return number_incidents(keyed).select("incident_id", "block_id", "anomaly_score")
 
 
 def cluster(blk: DataFrame, ev: DataFrame, eps: float = 0.5, min_samples: int = 2):
-    """(members, lines, incidents) of decided blocks with dense features."""
+    """(members, lines, incidents) of decided blocks."""
     members = materialize(cluster_blocks(blk, eps, min_samples), "members")
     lines = materialize(incident_lines(members, ev), "incident_lines")
     return members, lines, enrich(members, lines)

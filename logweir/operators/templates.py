@@ -164,12 +164,16 @@ def merge_leaf(pdf: pd.DataFrame, sim_th: float) -> pd.DataFrame:
     )
 
 
-def _merge_round(sig: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge every (leaf, chunk) group; big leaves are cut into salted chunks."""
+def _merge_round(sig: DataFrame, keys: list[str], cut: bool) -> DataFrame:
+    """Merge every (leaf, chunk) group; ``cut`` splits big leaves into salted
+    chunks first."""
     group = [*keys, "leaf"]
-    counts = sig.groupBy(*group).agg(F.count("*").alias("_cnt"))
-    salt = F.pmod(F.xxhash64("tokens"), F.ceil(F.col("_cnt") / LEAF_CHUNK))
-    salted = sig.join(counts, group).withColumn("chunk", F.when(F.col("_cnt") > LEAF_CHUNK, salt).otherwise(0))
+    if cut:
+        counts = sig.groupBy(*group).agg(F.count("*").alias("_cnt"))
+        salt = F.pmod(F.xxhash64("tokens"), F.ceil(F.col("_cnt") / LEAF_CHUNK))
+        sig = sig.join(counts, group).withColumn(
+            "chunk", F.when(F.col("_cnt") > LEAF_CHUNK, salt).otherwise(0)
+        ).drop("_cnt")
     schema = ", ".join(
         [f"{f.name} {f.dataType.simpleString()}" for f in sig.schema.fields if f.name in group]
         + ["sim_th double", "tokens array<string>", "size bigint", "first_line bigint", "seed_id bigint"]
@@ -184,7 +188,7 @@ def _merge_round(sig: DataFrame, keys: list[str]) -> DataFrame:
             out[g] = pdf[g].iloc[0]
         return out
 
-    return salted.drop("_cnt").groupBy(*group, "chunk").applyInPandas(run, schema)
+    return sig.groupBy(*group, *(["chunk"] if cut else [])).applyInPandas(run, schema)
 
 
 def _largest_leaf(sig: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -201,8 +205,10 @@ def merge_signatures(sig: DataFrame, depth: Column, max_depth: int, keys: tuple[
     cols = [*k, "leaf", "sim_th", "tokens", "size", "first_line", "seed_id"]
     cur = materialize(leaf_keys(sig, depth, max_depth, k).select(*cols), "leaves")
     for _ in range(MAX_ROUNDS):
-        big, total = _largest_leaf(cur, k)
-        cur = materialize(_merge_round(cur, k).select(*cols), "merged")
+        big = total = cur.count()
+        if total > LEAF_CHUNK:
+            big, total = _largest_leaf(cur, k)
+        cur = materialize(_merge_round(cur, k, big > LEAF_CHUNK).select(*cols), "merged")
         if big <= LEAF_CHUNK:
             break
         # chunks of a big leaf were merged apart: merge their templates again,
@@ -234,7 +240,7 @@ def mine_templates(
         sig = sig.unionByName(old)
     sig = sig.withColumn("sim_th", F.lit(float(sim_th)))
     found = merge_signatures(sig, F.lit(depth), depth)
-    return _numbered(materialize(found, "templates"), seed)
+    return _numbered(found, seed)
 
 
 def _numbered(found: DataFrame, seed: DataFrame | None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logweir.operators import evaluate as E
 from logweir.operators import summaries as S
-from logweir.operators.features import FeatureSpace, dense, feature_space, sparse_features
+from logweir.operators.features import FeatureSpace, feature_space, sparse_features
 from logweir.operators.iforest import Forest, IForest
 from logweir.operators.incidents import cluster
 from logweir.operators.metrics import detect_totals
@@ -27,7 +27,7 @@ class Detection:
     templates: DataFrame
     space: FeatureSpace
     model: Forest
-    blocks: DataFrame  # block_id, score, anomaly_score, is_anomaly, features, ...
+    blocks: DataFrame  # block_id, idx, val, score, anomaly_score, is_anomaly, ...
     members: DataFrame  # incident_id, block_id, anomaly_score
     incident_lines: DataFrame
     incidents: DataFrame
@@ -49,8 +49,8 @@ def templated_events(
 
 
 def block_features(events: DataFrame, space: FeatureSpace) -> DataFrame:
-    blk = sparse_features(events, space).withColumn("features", dense(space.width))
-    return materialize(blk, "blocks")
+    """Sparse vectors; ``dense(space.width)`` turns them into whole arrays."""
+    return materialize(sparse_features(events, space), "blocks")
 
 
 def detect(

@@ -53,14 +53,14 @@ def precision_recall_f1(spark, sf):
     return r6(E.evaluate(*_judged(spark, sf)))
 
 
-_RUNS = """select event_type || '-' || user_id as run, min(event_id) as seq, round(avg(value) / 500, 6) as f1 from events group by event_type, user_id"""
+_RUNS = """select event_type || '-' || user_id as run, min(event_id) as seq, round(avg(value) / 500, 9) as f1 from events group by event_type, user_id"""
 
 
 @query("leaderboard", f"""
   select run, seq, f1, row_number() over (order by f1 desc, seq) = 1 as is_best from ({_RUNS}) r""")
 def leaderboard(spark, sf):
     runs = table(spark, sf, "events").groupBy(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("run")).agg(
-        F.min("event_id").alias("seq"), F.round(F.avg("value") / 500, 6).alias("f1")
+        F.min("event_id").alias("seq"), F.round(F.avg("value") / 500, 9).alias("f1")
     )
     return E.leaderboard(runs)
 

@@ -18,9 +18,9 @@ from logweir.sources import stores
 from logweir.sources.lines import scan_incidents as read_incidents
 
 
-@query("anomalies_only", with_("ev", "select block_id, round(anomaly_score, 6) as anomaly_score from f where is_anomaly", s=_SCORED, f=_FLAGGED))
+@query("anomalies_only", with_("ev", "select block_id, round(anomaly_score, 9) as anomaly_score from f where is_anomaly", s=_SCORED, f=_FLAGGED))
 def anomalies_only(spark, sf):
-    return r6(I.anomalies_only(_flagged(spark, sf)).select("block_id", "anomaly_score"))
+    return I.anomalies_only(_flagged(spark, sf)).select("block_id", F.round("anomaly_score", 9).alias("anomaly_score"))
 
 
 def _embeddings(spark, sf):

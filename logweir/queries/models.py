@@ -80,9 +80,10 @@ def _flagged(spark, sf):
     return TH.flag_anomalies(scores, TH.contamination_offset(scores, 0.03))
 
 
-@query("flag_anomalies", with_("ev", "select block_id, round(anomaly_score, 6) as anomaly_score, is_anomaly from f", s=_SCORED, f=_FLAGGED))
+@query("flag_anomalies", with_("ev", "select block_id, round(anomaly_score, 9) as anomaly_score, is_anomaly from f", s=_SCORED, f=_FLAGGED))
 def flag_anomalies(spark, sf):
-    return r6(_flagged(spark, sf).select("block_id", "anomaly_score", "is_anomaly"))
+    out = _flagged(spark, sf)
+    return out.select("block_id", F.round("anomaly_score", 9).alias("anomaly_score"), "is_anomaly")
 
 
 @query("run_stats", with_("ev", """
