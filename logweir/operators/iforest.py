@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.operators.threshold import contamination_offset, flag_anomalies
-from logweir.session import materialize, spread
+from logweir.session import fan_out, materialize, spread
 
 SUBSAMPLE = 256
 TREES_PER_TASK = 8
@@ -246,8 +246,8 @@ class IForest:
             return pd.concat(out)
 
         # a task grows TREES_PER_TASK trees: at most that many times psi rows
-        group = F.floor(F.col("tree") / TREES_PER_TASK)
-        nodes = draw_samples(blk, n, self.n_trees, psi, seed).groupBy(group).applyInPandas(
+        drawn = draw_samples(blk, n, self.n_trees, psi, seed).withColumn("grove", F.floor(F.col("tree") / TREES_PER_TASK))
+        nodes = fan_out(drawn, "grove").groupBy("grove").applyInPandas(
             grow, "tree long, node long, feature long, split double, path double"
         )
         return Forest.from_nodes(nodes, self.n_trees, depth, psi, self.contamination, None)

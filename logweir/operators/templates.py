@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions import text as X
 from logweir.operators.ids import dense_by_number
-from logweir.session import materialize
+from logweir.session import fan_out, materialize
 
 # Fixed values of the published tree
 MAX_CHILDREN = 100
@@ -164,31 +164,35 @@ def merge_leaf(pdf: pd.DataFrame, sim_th: float) -> pd.DataFrame:
     )
 
 
-def _merge_round(sig: DataFrame, keys: list[str], cut: bool) -> DataFrame:
-    """Merge every (leaf, chunk) group; ``cut`` splits big leaves into salted
-    chunks first."""
+def _merge_round(sig: DataFrame, keys: list[str], rows: int, cut: bool) -> DataFrame:
+    """Merge the rows of every leaf; ``cut`` splits big leaves into salted
+    chunks first.  Many small leaves share a task: leaves are dealt to buckets
+    of about LEAF_CHUNK rows and told apart inside."""
     group = [*keys, "leaf"]
+    sig = sig.withColumn("chunk", F.lit(0).cast("long"))
     if cut:
         counts = sig.groupBy(*group).agg(F.count("*").alias("_cnt"))
         salt = F.pmod(F.xxhash64("tokens"), F.ceil(F.col("_cnt") / LEAF_CHUNK))
         sig = sig.join(counts, group).withColumn(
             "chunk", F.when(F.col("_cnt") > LEAF_CHUNK, salt).otherwise(0)
         ).drop("_cnt")
-    schema = ", ".join(
-        [f"{f.name} {f.dataType.simpleString()}" for f in sig.schema.fields if f.name in group]
-        + ["sim_th double", "tokens array<string>", "size bigint", "first_line bigint", "seed_id bigint"]
-    )
+    cores = sig.sparkSession.sparkContext.defaultParallelism
+    buckets = max(min(4 * cores, -(-rows // 50)), -(-rows // LEAF_CHUNK))
+    sig = sig.withColumn("bucket", F.pmod(F.xxhash64(*group, "chunk"), F.lit(buckets)))
+    cols = [*group, "sim_th", "tokens", "size", "first_line", "seed_id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_new=pdf["seed_id"] < 0, _txt=pdf["tokens"].map(" ".join))
         pdf = pdf.sort_values(["_new", "seed_id", "first_line", "_txt"], ignore_index=True)
-        sim = float(pdf["sim_th"].iloc[0])
-        out = merge_leaf(pdf, sim).assign(sim_th=sim)
-        for g in group:
-            out[g] = pdf[g].iloc[0]
-        return out
+        by = [*group, "chunk"]
+        alone = ~pdf.duplicated(by, keep=False)
+        out = [pdf.loc[alone, cols]]
+        for at, part in pdf[~alone].groupby(by, sort=False):
+            merged = merge_leaf(part, float(part["sim_th"].iloc[0])).assign(sim_th=part["sim_th"].iloc[0])
+            out.append(merged.assign(**dict(zip(group, at)))[cols])
+        return pd.concat(out)
 
-    return sig.groupBy(*group, *(["chunk"] if cut else [])).applyInPandas(run, schema)
+    return fan_out(sig, "bucket").groupBy("bucket").applyInPandas(run, sig.select(*cols).schema)
 
 
 def _largest_leaf(sig: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -208,7 +212,7 @@ def merge_signatures(sig: DataFrame, depth: Column, max_depth: int, keys: tuple[
         big = total = cur.count()
         if total > LEAF_CHUNK:
             big, total = _largest_leaf(cur, k)
-        cur = materialize(_merge_round(cur, k, big > LEAF_CHUNK).select(*cols), "merged")
+        cur = materialize(_merge_round(cur, k, total, big > LEAF_CHUNK).select(*cols), "merged")
         if big <= LEAF_CHUNK:
             break
         # chunks of a big leaf were merged apart: merge their templates again,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweir.operators.parse import parse_lines
-from logweir.operators.templates import signature_events
+from logweir.operators.templates import signature_events, with_signature
+from logweir.session import materialize
 from logweir.sources.render import lines_sql, rendered_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts, given one partition per core when it is a single
+    small file (a no-op for tables with many splits)."""
+    df, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(df: DataFrame) -> DataFrame:
     """Round every double column to 6 places."""
     return df.select(*[
@@ -49,8 +57,10 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tevents(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed events with stateless templates and ids by first appearance."""
-    return signature_events(events(spark, sf))
+    """Parsed events with stateless templates and ids by first appearance,
+    stored once: most queries read them several times."""
+    parsed = materialize(with_signature(events(spark, sf)), "parsed")
+    return materialize(signature_events(parsed), "events")
 
 
 # -- the same inputs as DuckDB CTEs ----------------------------------------------

@@ -11,7 +11,7 @@ from logweir.functions import text as X
 from logweir.operators import formats as FM
 from logweir.operators import parse as P
 from logweir.operators import templates as TP
-from logweir.queries.base import BL, CTE, HDFS, LEVELS, events, lines, query, table, tevents, with_
+from logweir.queries.base import BL, CTE, HDFS, LEVELS, events, lines, query, table, tevents, wide_table, with_
 from logweir.session import materialize, work_dir
 from logweir.sources import lines as L
 from logweir.sources import stores
@@ -45,7 +45,7 @@ _DOC_LINES = f"""
 
 @query("explode_log_text", f"select doc_id, line_id, raw from ({_DOC_LINES}) t")
 def explode_log_text(spark, sf):
-    return L.explode_text(table(spark, sf, "documents"), "text", "doc_id")
+    return L.explode_text(wide_table(spark, sf, "documents"), "text", "doc_id")
 
 
 @query("scan_labels", with_("ev", """
@@ -145,7 +145,7 @@ _ALL = f"select 0 as src, doc_id as k, line_id, raw from ({_DOC_LINES}) t union
 
 def mixed_lines(spark, sf) -> DataFrame:
     """Prose lines of the documents and ISO-stamped log lines."""
-    docs = L.explode_text(table(spark, sf, "documents"), "text", "doc_id")
+    docs = L.explode_text(wide_table(spark, sf, "documents"), "text", "doc_id")
     a = docs.select(F.lit(0).alias("src"), F.col("doc_id").alias("k"), "line_id", "raw")
     b = lines(spark, sf, "iso").select(F.lit(1).alias("src"), F.lit(0).cast("long").alias("k"), "line_id", "raw")
     return a.unionByName(b)

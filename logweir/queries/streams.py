@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logweir.queries.base import lines, query, r6, tevents, with_
 from logweir.queries.events import written_lines
-from logweir.session import materialize, work_dir
+from logweir.session import work_dir
 from logweir.sources.lines import stream_log
 from logweir.streaming import windows as W
 from logweir.streaming.live import stream_windows as live
@@ -42,7 +42,7 @@ def window_min_blocks(spark, sf):
 
 @query("window_detect")
 def window_detect(spark, sf):
-    return r6(W.window_detect(materialize(tevents(spark, sf), "events")))
+    return r6(W.window_detect(tevents(spark, sf)))
 
 
 _TOTALS = f"""

@@ -10,7 +10,7 @@ from logweir.functions import text as X
 from logweir.operators import template_quality as Q
 from logweir.operators import templates as T
 from logweir.operators.ids import dense_by_number
-from logweir.queries.base import events, lines, query, r6, table, tevents, with_
+from logweir.queries.base import events, lines, query, r6, table, tevents, wide_table, with_
 from logweir.session import materialize, work_dir
 from logweir.sources import stores
 from logweir.sources.lines import explode_text
@@ -24,7 +24,7 @@ def mine_templates(spark, sf):
 @query("mine_document_templates")
 def mine_document_templates(spark, sf):
     """Mining on messy text: every line of every document."""
-    docs = explode_text(table(spark, sf, "documents"), "text", "doc_id")
+    docs = explode_text(wide_table(spark, sf, "documents"), "text", "doc_id")
     ev = docs.select(F.col("raw").alias("content"), (F.col("doc_id") * 1_000_000 + F.col("line_id")).alias("line_id"))
     return T.mine_templates(ev).select("template_id", "template", "size", "first_line")
 
@@ -38,7 +38,7 @@ _CATALOG = r"""
 
 
 def _catalog(spark, sf):
-    ev = events(spark, sf)
+    ev = materialize(T.with_signature(events(spark, sf)), "parsed")
     tpl = T.number_templates(T.with_signature(ev)).select("template_id", "template")
     broad = tpl.where(F.contains("template", F.lit("block"))).select(
         F.col("template_id") + 100, F.replace("template", F.lit("block"), F.lit("<*>"))
@@ -47,7 +47,7 @@ def _catalog(spark, sf):
         (F.min("line_id") + 1000).alias("template_id")
     ).select("template_id", F.array_join(X.tokens(F.col("content")), " "))
     out = tpl.union(broad).union(literal)
-    return materialize(out.withColumn("tokens", F.split("template", " ")), "catalog")
+    return ev, materialize(out.withColumn("tokens", F.split("template", " ")), "catalog")
 
 
 @query("assign_templates", with_("tpl", r"""
@@ -59,7 +59,7 @@ def _catalog(spark, sf):
       on len(e.t) = len(c.ct) and len(list_filter(list_zip(e.t, c.ct), lambda p: p[2] <> '<*>' and p[1] <> p[2])) = 0) x
   where rn = 1""", cat=_CATALOG))
 def assign_templates(spark, sf):
-    return T.assign_templates(events(spark, sf), _catalog(spark, sf)).select("line_id", "template_id", "template")
+    return T.assign_templates(*_catalog(spark, sf)).select("line_id", "template_id", "template")
 
 
 @query("signature_template", with_("sev", "select line_id, template as signature from sev"))

@@ -60,3 +60,12 @@ def spread(df: DataFrame, rows: int, per_task: int = 8_000) -> DataFrame:
     has them (small tables are otherwise read back as one partition)."""
     want = min(-(-rows // per_task), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by the keys of a compute-heavy grouped stage.  A fixed number of
+    partitions keeps small but expensive groups on all cores, where the size-based
+    coalescing of shuffles would put them into one task."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

@@ -14,7 +14,7 @@ from logweir.operators.dbscan import small_clusters
 from logweir.operators.features import feature_space, sparse_features
 from logweir.operators.ids import dense_by_order, running_sum
 from logweir.operators.iforest import SUBSAMPLE, grow_trees, mean_path, path_lengths
-from logweir.session import materialize
+from logweir.session import fan_out
 
 WINDOW = 50
 BLOCK = r"(blk_-?\d+)"
@@ -103,7 +103,7 @@ def window_detect(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return detect_one_window(pdf, contamination, n_trees, eps, min_samples, seed)
 
-    return blk.groupBy(*k).applyInPandas(
+    return fan_out(blk, *k).groupBy(*k).applyInPandas(
         run, ddl + ", anomaly_score double, is_anomaly boolean, incident_id long"
     )
 

@@ -109,10 +109,10 @@ def test_overflowing_children_share_the_wildcard_child(spark, monkeypatch):
 
 
 def test_seeded_mining_keeps_ids(spark):
-    first = T.mine_templates(as_events(spark, ["open file 1", "open file 2", "close all now please"]))
-    more = as_events(spark, ["open file 3", "open dir 4", "brand new message here today"])
+    first = T.mine_templates(as_events(spark, ["open file 1 now", "open file 2 now", "close all"]))
+    more = as_events(spark, ["open file 3 now", "open dir 4 now", "brand new message here today"])
     got = {r.template_id: r.template for r in T.mine_templates(more, seed=first).collect()}
-    assert got == {1: "open <*> <*>", 2: "close all now please", 3: "brand new message here today"}
+    assert got == {1: "open <*> <*> now", 2: "close all", 3: "brand new message here today"}
 
 
 def test_assign_against_brute_force(spark):
