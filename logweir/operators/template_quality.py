@@ -163,21 +163,9 @@ def sweep_templates(
 
 def _match_by_combo(forms: DataFrame, found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, signature, size, first_line, template_id): best template per combo."""
-    k = list(keys)
-    lit = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) != X.WILDCARD)
-    tpl = found.select(*k, "template_id", "first_line", F.size("tokens").alias("_n"), lit.alias("_mask"), "tokens")
-    tpl = tpl.withColumn("_key", F.transform("_mask", lambda i: F.get("tokens", i))).drop("tokens")
-    masks = tpl.select(*k, "_n", "_mask").distinct()
-    probes = (
-        forms.withColumn("_t", F.split("form", " ")).withColumn("_n", F.size("_t"))
-        .join(masks, "_n")
-        .withColumn("_key", F.transform("_mask", lambda i: F.get("_t", i)))
-    )
-    hits = probes.join(
-        tpl.select(*k, "_n", "_mask", "_key", "template_id", F.col("first_line").alias("_tf")),
-        [*k, "_n", "_mask", "_key"],
-    )
-    return hits.groupBy(*k, "signature").agg(
-        F.min_by("template_id", F.struct(F.size("_mask"), "_tf", "template_id")).alias("template_id"),
+    tpl = found.select(*keys, "template_id", "tokens", F.col("first_line").alias("_tf"))
+    hits = T.full_matches(forms, tpl, keys)
+    return hits.groupBy(*keys, "signature").agg(
+        F.min_by("template_id", F.struct("literals", "_tf", "template_id")).alias("template_id"),
         F.first("size").alias("size"), F.first("first_line").alias("first_line"),
     )

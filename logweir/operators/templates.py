@@ -61,27 +61,36 @@ def distinct_signatures(ev: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     literal back: the tree only wildcards positions that differ.
     """
     k = list(keys)
-    rows = with_signature(ev).select(*k, "signature", X.tokens(F.col("content")).alias("_t"), "line_id")
+    src = with_signature(ev).select(*k, "signature", "line_id", "content")
+    # only fixed-width aggregates, so this stays a hash aggregate: a position is
+    # constant when the smallest and the largest token hash agree
     marks = F.filter(
-        F.transform(F.col("_t"), lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))),
-        lambda s: s["tok"].rlike("[0-9]"),
+        F.transform(
+            X.tokens(F.col("content")),
+            lambda t, i: F.struct(i.alias("pos"), F.when(t.rlike("[0-9]"), F.xxhash64(t)).alias("h")),
+        ),
+        lambda s: s["h"].isNotNull(),
     )
-    whole = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("tok")))
-    long = rows.select(*k, "signature", "line_id", F.inline(F.concat(whole, marks)))
+    whole = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("h")))
+    long = src.select(*k, "signature", "line_id", F.inline(F.concat(whole, marks)))
     per_pos = long.groupBy(*k, "signature", "pos").agg(
-        F.min("tok").alias("lo"), F.max("tok").alias("hi"),
-        F.count("*").alias("n"), F.min("line_id").alias("first"),
+        F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n"), F.min("line_id").alias("first"),
     )
-    const = F.when((F.col("pos") >= 0) & (F.col("lo") == F.col("hi")), F.struct("pos", "lo"))
+    const = F.when((F.col("pos") >= 0) & (F.col("lo") == F.col("hi")), F.col("pos"))
     sig = per_pos.groupBy(*k, "signature").agg(
         F.max(F.when(F.col("pos") == -1, F.col("n"))).alias("size"),
         F.min("first").alias("first_line"),
-        F.map_from_entries(F.collect_list(const)).alias("_const"),
+        F.collect_list(const).alias("_const"),
+    )
+    # literals are read off the signature's first line
+    wanted = sig.where(F.size("_const") > 0).select(*k, "signature", F.col("first_line").alias("line_id"))
+    lits = src.join(wanted, [*k, "signature", "line_id"]).groupBy(*k, "signature").agg(
+        F.any_value(X.tokens(F.col("content"))).alias("_lit")
     )
     back = F.transform(
-        F.split("signature", " "), lambda t, i: F.coalesce(F.element_at("_const", i), t)
+        F.split("signature", " "), lambda t, i: F.when(F.array_contains("_const", i), F.get("_lit", i)).otherwise(t)
     )
-    return sig.withColumn("tokens", back).drop("_const")
+    return sig.join(lits, [*k, "signature"], "left").withColumn("tokens", back).drop("_const", "_lit")
 
 
 # -- fixed-depth tree ----------------------------------------------------------
@@ -295,30 +304,41 @@ def canonical_form(content: Column, templates: DataFrame) -> Column:
     return _canonical(content, [r["t"] for r in digits])
 
 
-def match_forms(forms: DataFrame, templates: DataFrame) -> DataFrame:
-    """(form, template_id, template): best full match of each distinct form.
+def full_matches(forms: DataFrame, templates: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every full match: the rows of ``forms`` (with ``form``) next to the
+    matching rows of ``templates`` (with tokens), plus ``literals``, the number
+    of literal positions.  ``templates`` may come in separate sets (``keys``).
 
-    Templates of one length are grouped by which positions are literal.  A form
-    is looked up once per such mask by its literal tokens - an equi-join, so
-    lines and templates are never paired blindly.  Most wildcards win, then the
-    lowest id.
+    Templates of one length and first token are grouped by which positions are
+    literal.  A form is looked up once per such mask by its literal tokens - an
+    equi-join, so lines and templates are never paired blindly.
     """
+    k = list(keys)
     lit = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) != W)
-    tpl = templates.select(
-        "template_id", "template", F.size("tokens").alias("_n"), lit.alias("_mask"), "tokens"
-    ).withColumn("_key", F.transform("_mask", lambda i: F.get("tokens", i))).drop("tokens")
-    masks = tpl.select("_n", "_mask").distinct()
+    tpl = (
+        templates.withColumn("_n", F.size("tokens")).withColumn("_head", F.get("tokens", F.lit(0)))
+        .withColumn("_mask", lit)
+        .withColumn("_key", F.transform("_mask", lambda i: F.get("tokens", i)))
+        .drop("tokens")
+    )
+    masks = tpl.select(*k, "_n", "_head", "_mask").distinct()
     probes = (
         forms.withColumn("_t", F.split("form", " ")).withColumn("_n", F.size("_t"))
-        .join(masks, "_n")
+        .withColumn("_head", F.explode(F.array_distinct(F.array(F.get("_t", F.lit(0)), F.lit(W)))))
+        .join(masks, ["_n", "_head"])
         .withColumn("_key", F.transform("_mask", lambda i: F.get("_t", i)))
         .drop("_t")
     )
-    hits = probes.join(tpl, ["_n", "_mask", "_key"])
-    order = F.struct(F.size("_mask"), "template_id")
-    return hits.groupBy("form").agg(
-        F.min_by(F.struct("template_id", "template"), order).alias("_b")
-    ).select("form", "_b.template_id", "_b.template")
+    on = [*k, "_n", "_head", "_mask", "_key"]
+    return probes.join(tpl, on).withColumn("literals", F.size("_mask")).drop("_n", "_head", "_mask", "_key")
+
+
+def match_forms(forms: DataFrame, templates: DataFrame) -> DataFrame:
+    """(form, template_id, template): best full match of each distinct form.
+    Most wildcards win, then the lowest id."""
+    hits = full_matches(forms, templates.select("template_id", "template", "tokens"))
+    best = F.min_by(F.struct("template_id", "template"), F.struct("literals", "template_id"))
+    return hits.groupBy("form").agg(best.alias("_b")).select("form", "_b.template_id", "_b.template")
 
 
 def assign_templates(ev: DataFrame, templates: DataFrame) -> DataFrame:
