@@ -247,7 +247,7 @@ class IForest:
 
         # a task grows TREES_PER_TASK trees: at most that many times psi rows
         drawn = draw_samples(blk, n, self.n_trees, psi, seed).withColumn("grove", F.floor(F.col("tree") / TREES_PER_TASK))
-        nodes = fan_out(drawn, "grove").groupBy("grove").applyInPandas(
+        nodes = fan_out(drawn, "grove", groups=-(-self.n_trees // TREES_PER_TASK)).groupBy("grove").applyInPandas(
             grow, "tree long, node long, feature long, split double, path double"
         )
         return Forest.from_nodes(nodes, self.n_trees, depth, psi, self.contamination, None)

@@ -201,7 +201,7 @@ def _merge_round(sig: DataFrame, keys: list[str], rows: int, cut: bool) -> DataF
             out.append(merged.assign(**dict(zip(group, at)))[cols])
         return pd.concat(out)
 
-    return fan_out(sig, "bucket").groupBy("bucket").applyInPandas(run, sig.select(*cols).schema)
+    return fan_out(sig, "bucket", groups=buckets).groupBy("bucket").applyInPandas(run, sig.select(*cols).schema)
 
 
 def _largest_leaf(sig: DataFrame, keys: list[str]) -> tuple[int, int]:

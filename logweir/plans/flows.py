@@ -40,12 +40,13 @@ def templated_events(
     lines: DataFrame, log_format: str = "auto", seed: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(events, templates): parsed, mined and matched; events are stored once
-    and every later step reads only the columns it needs."""
+    and every later step reads only the columns it needs.  ``params`` follows
+    from content and template, so it is computed when asked for."""
     plan = plan_parse(lines, log_format)
     parsed = materialize(with_signature(parse_with(lines, plan)), "parsed")
     templates = materialize(mine_templates(parsed, plan.sim_th, plan.depth, seed), "templates")
-    events = materialize(with_params(assign_templates(parsed, templates)), "events")
-    return events, templates
+    events = materialize(assign_templates(parsed, templates), "events")
+    return with_params(events), templates
 
 
 def block_features(events: DataFrame, space: FeatureSpace) -> DataFrame:

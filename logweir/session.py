@@ -62,10 +62,11 @@ def spread(df: DataFrame, rows: int, per_task: int = 8_000) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+def fan_out(df: DataFrame, *keys: str, groups: int | None = None) -> DataFrame:
     """Partition by the keys of a compute-heavy grouped stage.  A fixed number of
     partitions keeps small but expensive groups on all cores, where the size-based
-    coalescing of shuffles would put them into one task."""
+    coalescing of shuffles would put them into one task; ``groups`` is the number
+    of groups where it is known, as more partitions would stay empty."""
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    return df.repartition(n if groups is None else max(1, min(n, groups)), *keys)
