@@ -16,9 +16,14 @@ from logweir.sources import stores
 from logweir.sources.lines import explode_text
 
 
+def _parsed(spark, sf):
+    """Parsed events with their signature, stored once."""
+    return materialize(T.with_signature(events(spark, sf)), "parsed")
+
+
 @query("mine_templates")
 def mine_templates(spark, sf):
-    return T.mine_templates(events(spark, sf)).select("template_id", "template", "size", "first_line")
+    return T.mine_templates(_parsed(spark, sf)).select("template_id", "template", "size", "first_line")
 
 
 @query("mine_document_templates")
@@ -26,6 +31,7 @@ def mine_document_templates(spark, sf):
     """Mining on messy text: every line of every document."""
     docs = explode_text(wide_table(spark, sf, "documents"), "text", "doc_id")
     ev = docs.select(F.col("raw").alias("content"), (F.col("doc_id") * 1_000_000 + F.col("line_id")).alias("line_id"))
+    ev = materialize(T.with_signature(ev), "parsed")
     return T.mine_templates(ev).select("template_id", "template", "size", "first_line")
 
 
@@ -38,7 +44,7 @@ _CATALOG = r"""
 
 
 def _catalog(spark, sf):
-    ev = materialize(T.with_signature(events(spark, sf)), "parsed")
+    ev = _parsed(spark, sf)
     tpl = T.number_templates(T.with_signature(ev)).select("template_id", "template")
     broad = tpl.where(F.contains("template", F.lit("block"))).select(
         F.col("template_id") + 100, F.replace("template", F.lit("block"), F.lit("<*>"))
@@ -80,7 +86,7 @@ def template_count(spark, sf):
 @query("mine_incremental")
 def mine_incremental(spark, sf):
     """First half, then the whole log on top of the stored templates."""
-    ev = materialize(events(spark, sf), "events")
+    ev = _parsed(spark, sf)
     half = ev.agg(F.max("line_id")).first()[0] // 2
     first = T.mine_templates(ev.where(F.col("line_id") <= half))
     path = f"{work_dir(spark)}/templates-{uuid.uuid4().hex}"
@@ -92,7 +98,7 @@ def mine_incremental(spark, sf):
 @query("template_store")
 def template_store(spark, sf):
     path = f"{work_dir(spark)}/templates-{uuid.uuid4().hex}"
-    stores.save_templates(T.mine_templates(events(spark, sf)), path)
+    stores.save_templates(T.mine_templates(_parsed(spark, sf)), path)
     return stores.load_templates(spark, path).select("template_id", "template", "size", "first_line")
 
 
