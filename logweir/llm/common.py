@@ -20,8 +20,11 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """The words of a text, as an array."""
-    return F.filter(F.split(text, BLANK + "+"), lambda w: w != "")
+    """The words of a text, as an array.  Plain replacement and a split at one
+    character are several times as fast as a regular expression."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
