@@ -43,6 +43,11 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+#: Words that tell little, so that no search should rest on them.
+COMMON = {"this", "is", "the", "of", "a", "under", "in", "by", "be", "with", "and", "or", "to", "for", "that", "at", "can", "you", "it", "not", "any",
+          "are", "free", "use", "work", "source", "following", "form", "found", "file", "version", "may", "subject", "terms", "either", "later", "into"}
+
+
 def normal_words(text: str) -> list[str]:
     """Words of a template: ASCII lower case, runs of letters and digits."""
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
@@ -74,11 +79,11 @@ def probe_words(sets: list[list[str]], dice: float) -> list[str]:
     left = [set(s) for s in sets]
     while any(n > 0 for n in needs):
         words_ = sorted({w for s, n in zip(left, needs) if n > 0 for b in s for w in b.split(" ")})
-        won = lambda w: sum(min(n, sum(w in b for b in s)) for s, n in zip(left, needs) if n > 0)
-        best = max(words_, key=lambda w: (won(w) * (len(w) > 3), len(w), w))
+        won = lambda w: sum(min(n, sum(w in b.split(" ") for b in s)) for s, n in zip(left, needs) if n > 0)
+        best = max(words_, key=lambda w: (w not in COMMON, len(w) > 1, won(w), len(w), w))
         chosen.append(best)
         for k, s in enumerate(left):
-            hit = {b for b in s if best in b}
+            hit = {b for b in s if best in b.split(" ")}
             needs[k] -= len(hit)
             left[k] = s - hit
     return chosen
@@ -97,20 +102,13 @@ def license_notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
         return docs.sparkSession.createDataFrame([], "doc_id long, unit string, number int, license string, dice double")
     ranges = size_bounds([len(s) for _, s in sets], dice)
     shortest = ranges[0][0]
-    probes = probe_words([s for _, s in sets], dice)
-
-    def probed(x):
-        ok = F.lit(False)
-        for w in probes:
-            ok = ok | F.contains(x, F.lit(w))
-        return ok
-
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(probed(F.lower("t")))
+    probes = "(?i)(?<![a-z0-9])(?:" + "|".join(probe_words([s for _, s in sets], dice)) + ")(?![a-z0-9])"
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(F.col("t").rlike(probes))
     lines = "transform(split(t, '\\n'), (x, i) -> named_struct('unit', 'line', 'number', i, 'x', x))"
     paragraphs = "transform(split(t, '\\n[ \\t\\r]*\\n'), (x, i) -> named_struct('unit', 'paragraph', 'number', i, 'x', x))"
     both = F.expr(f"concat({lines}, filter({paragraphs}, p -> contains(trim('\\n' from p.x), '\\n')))")
     # explode keeps the filters that follow from being moved below, where they would make the bigrams again
-    w = F.transform(F.filter(both, lambda u: probed(F.lower(u["x"]))), lambda u: F.struct(u["unit"].alias("unit"), u["number"].alias("number"), F.array_remove(
+    w = F.transform(F.filter(both, lambda u: u["x"].rlike(probes)), lambda u: F.struct(u["unit"].alias("unit"), u["number"].alias("number"), F.array_remove(
         F.split(F.regexp_replace(F.lower(u["x"]), "[^a-z0-9]+", " "), " "), "").alias("w")))
     w = F.filter(w, lambda u: F.size(u["w"]) > shortest)
     g = F.transform(w, lambda u: F.struct(u["unit"].alias("unit"), u["number"].alias("number"), F.array_distinct(F.transform(
