@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 15
 #: Labelled documents a language is learned from at most (in expectation; drawn
@@ -190,51 +191,56 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, (weights - weights.max(1, keepdims=True)).astype(np.float32), scripts > SEEN * scripts.sum(0), abc)
 
 
-SPANS = "array<struct<lang:string,start:int,end:int>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def label_spans(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """(doc_id, lang_pred, score, spans): the language that most letters of a text
-    are labelled with, their share, and the labelled spans in code points.
+def _labelled(texts: list[str], m: Model, switch: float) -> list[tuple]:
+    """(language, its share of the letters, spans) of each text."""
+    w = read_words(texts, m.abc)
+    out = [("und", 0.0, [])] * len(texts)
+    if not len(w.start) or not m.langs:
+        return out
+    docs, first, size = np.unique(w.doc, return_index=True, return_counts=True)
+    path = best_paths(m.word_scores(w), first, size, switch)
+    ends = np.r_[w.start[1:], len(w.bucket)]
+    local = np.searchsorted(docs, w.doc)
+    votes = np.bincount(local * len(m.langs) + path, weights=ends - w.start, minlength=len(docs) * len(m.langs)).reshape(len(docs), -1)
+    new = np.flatnonzero(np.r_[True, (local[1:] != local[:-1]) | (path[1:] != path[:-1])])
+    last = np.r_[new[1:], len(path)] - 1
+    lo, hi = w.at[w.start[new]], w.at[ends[last] - 1] + 1
+    cut = np.searchsorted(local[new], np.arange(len(docs) + 1))
+    for i, d in enumerate(docs):
+        k = int(votes[i].argmax())
+        spans = [{"lang": m.langs[path[new[j]]], "start": int(lo[j]), "end": int(hi[j])} for j in range(cut[i], cut[i + 1])]
+        out[d] = (m.langs[k], float(votes[i, k] / votes[i].sum()), spans)
+    return out
+
+
+def label_spans(docs: DataFrame, model: Model, *keep: str, switch: float = SWITCH) -> DataFrame:
+    """doc_id (or the columns of ``keep``), lang_pred, score and spans: the language
+    that most letters of a text are labelled with, their share, and the labelled spans
+    in code points.
 
     ``und``, 0.0 and no span for a text that is null or has no letter.  Equal
-    numbers of letters: the language first in order.  Repeated rows stay.
+    numbers of letters: the language first in order.  Repeated rows and null ids stay;
+    an empty table gives none.  Kept columns of these names are replaced.
     """
-
-    def label(texts: list[str], m: Model) -> list[tuple]:
-        w = read_words(texts, m.abc)
-        out = [("und", 0.0, [])] * len(texts)
-        if not len(w.start) or not m.langs:
-            return out
-        docs_, first, size = np.unique(w.doc, return_index=True, return_counts=True)
-        path = best_paths(m.word_scores(w), first, size, switch)
-        ends = np.r_[w.start[1:], len(w.bucket)]
-        letters = ends - w.start
-        local = np.searchsorted(docs_, w.doc)
-        votes = np.bincount(local * len(m.langs) + path, weights=letters, minlength=len(docs_) * len(m.langs)).reshape(len(docs_), -1)
-        new = np.flatnonzero(np.r_[True, (local[1:] != local[:-1]) | (path[1:] != path[:-1])])
-        last = np.r_[new[1:], len(path)] - 1
-        lo, hi = w.at[w.start[new]], w.at[ends[last] - 1] + 1
-        of = local[new]
-        cut = np.r_[np.searchsorted(of, np.arange(len(docs_))), len(of)]
-        for i, d in enumerate(docs_):
-            k = int(votes[i].argmax())
-            spans = [{"lang": m.langs[path[new[j]]], "start": int(lo[j]), "end": int(hi[j])} for j in range(cut[i], cut[i + 1])]
-            out[d] = (m.langs[k], float(votes[i, k] / votes[i].sum()), spans)
-        return out
+    keep = [c for c in keep or ("doc_id",) if c not in ("lang_pred", "score", "spans")]
+    rows = docs.select(F.coalesce("text", F.lit("")), *keep)
+    fields = [docs.schema[c] for c in keep]
+    kinds = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model  # languages x BUCKETS numbers
+        span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            texts = b.column(0).to_pylist()
             got: list[tuple] = [()] * len(texts)
             for piece in _pieces(texts):
-                for i, x in zip(piece, label([texts[i] for i in piece], m)):
+                for i, x in zip(piece, _labelled([texts[i] for i in piece], model, switch)):
                     got[i] = x
             if got:
                 lang, score, spans = zip(*got)
-                kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lang), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "spans"])
+                new = [pa.array(lang), pa.array(score, pa.float64()), pa.array(spans, span)]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], names=[*keep, "lang_pred", "score", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {SPANS}")
+    return rows.mapInArrow(run, T.StructType(fields + kinds))

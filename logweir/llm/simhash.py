@@ -45,14 +45,15 @@ def fingerprint(text: str, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each document as a signed long."""
+    """(doc_id, h, fp): the fingerprint of each document as a signed long; h tells
+    texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(2)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
 
 
 # -- the covering code --------------------------------------------------------------
@@ -213,6 +214,19 @@ def near_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(link, "u long, v long")
 
 
+def _components(docs: DataFrame, size: int, max_bits: int) -> DataFrame:
+    """(doc_id, h, fp, root, component_id) of each row."""
+    fps = stored(fingerprints(docs, size), "fingerprints")
+    groups = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("lead")), "fingerprint-groups")
+    linked = connected_components(near_links(groups, max_bits))
+    roots = stored(
+        groups.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+        .select("fp", "lead", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    leads = stored(roots.groupBy("root").agg(F.min("lead").alias("component_id")), "fingerprint-leads")
+    of = stored(roots.join(leads, "root").select("fp", "root", "component_id"), "fingerprint-components")
+    return fps.join(of, "fp")
+
+
 def simhash_components(docs: DataFrame, size: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
@@ -221,12 +235,15 @@ def simhash_components(docs: DataFrame, size: int = 3, max_bits: int = 2) -> Dat
     doc_id is never a component_id unless its whole component has none.  An
     empty table gives an empty result.  Other columns are not looked at.
     """
-    fps = stored(fingerprints(docs, size), "fingerprints")
-    groups = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("lead")), "fingerprint-groups")
-    linked = connected_components(near_links(groups, max_bits))
-    roots = stored(
-        groups.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "lead", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
-    leads = stored(roots.groupBy("root").agg(F.min("lead").alias("component_id")), "fingerprint-leads")
-    of = stored(roots.join(leads, "root").select("fp", "component_id"), "fingerprint-components")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _components(docs, size, max_bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: the one of smallest doc_id (null:
+    last), then of smallest text hash; of rows alike in both, any one."""
+    rows = _components(docs, size, max_bits)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    first = stored(first.select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h")), "fingerprint-firsts")
+    named = docs.drop("_id", "_h", "_k").withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = named.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")))
+    return kept.dropDuplicates(["_id", "_h"]).select(*docs.columns)

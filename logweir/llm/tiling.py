@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import stored
+from logweir.llm.common import stored, texts
 
 LEAST, SHARE = 5, 0.8
+TILES = "array<struct<item:int,doc:int,words:int>>"
 BLOCK = 1_000_000  # words of items that are sent to the tasks at a time
 
 
@@ -95,7 +96,7 @@ def _covered(docs: DataFrame, block: list[tuple[int, list[bytes]]], least: int,
         short = sorted({len(coded[k]) for k in np.flatnonzero(whole)})
         for b in batches:
             out = []
-            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for id_, text in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist()):
                 ids = np.array([words.get(w, -1) for w in text.encode("utf-8", "surrogatepass").lower().split()], np.int64)
                 known = np.flatnonzero(ids >= 0)
                 cand: set[int] = set()
@@ -111,13 +112,23 @@ def _covered(docs: DataFrame, block: list[tuple[int, list[bytes]]], least: int,
                     t = tiles(coded[k], ids, min(least, len(coded[k])))
                     cover = sum(x[2] for x in t) / len(coded[k])
                     if cover >= share:
-                        out.append((id_, names[k], cover, [{"item": i, "doc": j, "words": n} for i, j, n in t]))
+                        out.append((*id_, names[k], cover, [{"item": i, "doc": j, "words": n} for i, j, n in t]))
             if out:
                 kind = pa.list_(pa.struct([("item", pa.int32()), ("doc", pa.int32()), ("words", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.float64(), kind])], names=["doc_id", "item_id", "coverage", "tiles"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 3 + [pa.float64(), kind])], names=["doc_id", "h", "item_id", "coverage", "tiles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, item_id long, coverage double, tiles array<struct<item:int,doc:int,words:int>>")
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, item_id long, coverage double, tiles " + TILES)
+
+
+def _found(docs: DataFrame, items: DataFrame, least: int, share: float, block: int) -> DataFrame:
+    out = None
+    for words in _blocks(items, block):
+        part = stored(_covered(docs, words, least, share), "tiles")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], f"doc_id long, h long, item_id long, coverage double, tiles {TILES}")
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, share: float = SHARE, block: int = BLOCK) -> DataFrame:
@@ -129,10 +140,12 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, share: f
     whole.  Repeated documents or items give repeated rows; without items or
     documents the result is empty.
     """
-    out = None
-    for words in _blocks(items, block):
-        part = stored(_covered(docs, words, least, share), "tiles")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, tiles array<struct<item:int,doc:int,words:int>>")
-    return out
+    return _found(docs, items, least, share, block).drop("h")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """``docs`` without the rows that ``contaminated`` finds."""
+    bad = stored(_found(docs, items, least, share, block).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "contaminated")
+    named = docs.drop("_k").withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = named.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")), "left_anti")
+    return kept.select(*docs.columns)
