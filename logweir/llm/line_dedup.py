@@ -19,7 +19,7 @@ Only DataFrame and SQL functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.common import stored
@@ -29,7 +29,10 @@ SHORTEST = 20  # code points from which a line may differ by an edit; shorter on
 PAIRS = 24  # lines of a bucket that are paired
 EDITS = 1
 
-_ID = F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
+
+def _id() -> Column:
+    """128 bits that stand for a line."""
+    return F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b")).alias("id")
 
 
 def _bare(docs: DataFrame) -> DataFrame:
@@ -130,7 +133,7 @@ def repeated_lines(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """(doc_id, h, gone): the numbers of the lines of a text that are equal to, or one
     edit from, a line of an earlier document or an earlier line of their own, or linked
     to one by others.  h tells texts of one id apart."""
-    lines = lines_of(docs).select("doc_id", "h", "no", "line", _ID.alias("id"), F.length("line").alias("n"))
+    lines = lines_of(docs).select("doc_id", "h", "no", "line", _id(), F.length("line").alias("n"))
     keys = F.expr(f"if(n >= {SHORTEST}, array({', '.join(_keyed(frm, to)[less] for less, frm, to in _halves('n'))}), null)")
     occ = stored(lines.select("doc_id", "h", "no", "id", "n", keys.alias("keys")), "lines")
     first = occ.groupBy("id").agg(F.min(F.struct("doc_id", "h", "no")).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("keys").alias("keys"))
