@@ -39,6 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for work columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def joined_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest row of each row's component, for n rows and links i-j."""
     lab = np.arange(n)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import stored
+from logweir.llm.common import fresh, stored
 from logweir.operators.components import connected_components
 
 SHORTEST = 20  # code points from which a line may differ by an edit; shorter ones must be equal
@@ -158,11 +158,12 @@ def without_repeated_lines(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
     Columns of these names in ``docs`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, pairs).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    joined = docs.drop("_id", "_h", "_gone").withColumn("_k", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")), "left")
+    key, i, h, g = fresh(docs, "_k", "_id", "_h", "_gone")
+    gone = repeated_lines(docs, pairs).select(F.col("doc_id").alias(i), F.col("h").alias(h), F.col("gone").alias(g))
+    joined = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(
+        gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h)), "left")
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    left = F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(_gone, i)), '\n')")
-    out = joined.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    left = F.expr(f"array_join(filter(split(text, '\n'), (x, no) -> not array_contains({g}, no)), '\n')")
+    out = joined.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size(g), F.lit(0)).cast("long")})
+    out = out.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(left))
     return out.select(*docs.columns, "n_lines", "n_removed")

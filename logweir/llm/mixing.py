@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import stored, words
+from logweir.llm.common import fresh, stored, words
 
 ENTROPY = 0.97  # of the weights, as a share of the largest possible
 REPEATS = 4.0  # times that a source may be read
@@ -70,6 +70,7 @@ def mixed(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY
     """
     new = ["n_words", "weight", "copies"]
     docs = docs.drop(*new)
+    (p,) = fresh(docs, "_plan")
     counted = F.size(words(F.coalesce("text", F.lit("")))).cast("long")
     slim = stored(docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), counted.alias("n")), "mixture-rows")
     sources = stored(slim.groupBy("source").agg(F.sum("n").alias("words")), "sources")
@@ -80,7 +81,8 @@ def mixed(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY
     z = sources.agg(F.sum(raised)).first()[0] or 1.0
     blocks = F.when(F.col("words") > 0, F.col("weight") * budget / F.col("words")).otherwise(0.0)  # with the broken one
     plan = (sources.withColumn("weight", raised / z).withColumn("whole", F.floor(blocks + 1e-9).cast("long"))
-            .withColumn("rest", F.greatest(F.lit(0.0), F.col("weight") * budget - F.col("whole") * F.col("words"))))
+            .withColumn("rest", F.col("weight") * budget - F.col("whole") * F.col("words"))
+            .withColumn("rest", F.when(F.col("rest") > 1e-9 * F.col("words"), F.col("rest")).otherwise(0.0)))  # not what rounding leaves
     plan = stored(plan.select(F.col("source").alias("s"), "weight", "whole", "rest"), "mixture")
 
     # Where the broken block ends: words by bucket of the permutation find the bucket,
@@ -96,10 +98,10 @@ def mixed(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY
     cut = (rows.withColumn("before", F.col("start") + before).where("before < rest").groupBy("s").agg(F.max("u").alias("cut"))
            .withColumnRenamed("s", "s2"))
     plan = plan.join(cut, F.col("s").eqNullSafe(F.col("s2")), "left").select(
-        F.struct("s", "weight", "whole", F.coalesce("cut", F.lit(-1)).alias("cut")).alias("_plan"))
-    out = docs.drop("_plan").join(stored(plan, "mixture-cuts"), F.col("source").eqNullSafe(F.col("_plan.s")))
-    copies = F.col("_plan.whole") + (_key(F.col("_plan.whole")) <= F.col("_plan.cut")).cast("long")
-    return out.select(*docs.columns, counted.alias("n_words"), F.col("_plan.weight").alias("weight"), copies.alias("copies"))
+        F.struct("s", "weight", "whole", F.coalesce("cut", F.lit(-1)).alias("cut")).alias(p))
+    out = docs.join(stored(plan, "mixture-cuts"), F.col("source").eqNullSafe(F.col(f"{p}.s")))
+    copies = F.col(f"{p}.whole") + (_key(F.col(f"{p}.whole")) <= F.col(f"{p}.cut")).cast("long")
+    return out.select(*docs.columns, counted.alias("n_words"), F.col(f"{p}.weight").alias("weight"), copies.alias("copies"))
 
 
 def schedule(mixture: DataFrame) -> DataFrame:

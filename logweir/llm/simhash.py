@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import joined_components, stored, texts
+from logweir.llm.common import fresh, joined_components, stored, texts
 from logweir.operators.components import connected_components
 
 N, GENERATOR, RADIUS = 23, 0xC75, 3  # the Golay code: length, generator polynomial, covering radius
@@ -244,15 +244,16 @@ def one_of_each(docs: DataFrame, size: int = 3, max_bits: int = 2) -> DataFrame:
     rows = stored(_components(docs, size, max_bits).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")), "fingerprint-rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
     first = stored(first.select("root", F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h")), "fingerprint-firsts")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h"))
-    keys = lambda x, name: stored(x.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), name)
+    key, i, h = fresh(docs, "_k", "_id", "_h")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h))
+    keys = lambda x, name: stored(x.select(F.col("doc_id").alias(i), F.col("h").alias(h)), name)
     of = rows.join(first, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     # what goes is the smaller side, so the texts need not be shuffled while that is small
     gone = keys(of.where("not first"), "near-copies")
     again = keys(of.where("first and n > 1"), "repeated-rows")
-    named = docs.drop("_id", "_h", "_k").withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = named.join(gone, same, "left_anti")
     once = kept.join(again, same, "left_anti").select(*docs.columns)
     if again.isEmpty():
         return once
-    return once.unionByName(kept.join(again, same).dropDuplicates(["_id", "_h"]).select(*docs.columns))
+    return once.unionByName(kept.join(again, same).dropDuplicates([i, h]).select(*docs.columns))

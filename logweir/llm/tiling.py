@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import stored, texts
+from logweir.llm.common import fresh, stored, texts
 
 LEAST, SHARE = 5, 0.8
 TILES = "array<struct<item:int,doc:int,words:int>>"
@@ -145,7 +145,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, share: f
 
 def without_contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """``docs`` without the rows that ``contaminated`` finds."""
-    bad = stored(_found(docs, items, least, share, block).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "contaminated")
-    named = docs.drop("_k").withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = named.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")), "left_anti")
+    key, i, h = fresh(docs, "_k", "_id", "_h")
+    bad = stored(_found(docs, items, least, share, block).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct(), "contaminated")
+    named = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = named.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h)), "left_anti")
     return kept.select(*docs.columns)
