@@ -1,7 +1,7 @@
 """Anomalous blocks -> incidents, their lines, templates and time range.
 
-Whole results are long tables (one row per incident block or line).  Arrays are
-built only for bounded previews, so one huge incident never has to fit a row.
+Whole results are long tables (one row per incident block or line).  An incident
+row is a document: it names all its blocks and templates, and shows its first lines.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from logweir.operators.features import dense, standardize
 from logweir.operators.ids import dense_by_order
 from logweir.session import materialize
 
-# Preview sizes and severity bands
+# Digest and preview sizes, severity bands
 DIGEST_BLOCKS, DIGEST_LINES = 3, 5
-PREVIEW_BLOCKS, PREVIEW_LINES, PREVIEW_TEMPLATES = 200, 50, 200
+PREVIEW_LINES = 50
 RED, YELLOW = 0.5, 0.2
 
 
@@ -101,8 +101,14 @@ def first_k(df: DataFrame, order: str, value: str, k: int, name: str) -> DataFra
     return top.groupBy("incident_id").agg(F.transform(listed, lambda s: s["v"]).alias(name))
 
 
+def all_of(df: DataFrame, value: str, name: str) -> DataFrame:
+    """(incident_id, sorted array of all values)."""
+    return df.groupBy("incident_id").agg(F.sort_array(F.collect_list(value)).alias(name))
+
+
 def enrich(members: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row per incident with counts, time range and bounded previews."""
+    """One row per incident with counts, time range, all block ids and templates,
+    and its first lines."""
     none = F.array().cast("array<string>")
     counts = lines.groupBy("incident_id").agg(F.count("*").alias("line_count"))
     tpl = incident_templates(lines)
@@ -110,12 +116,12 @@ def enrich(members: DataFrame, lines: DataFrame) -> DataFrame:
     head = lines.where(F.col("line_no") <= PREVIEW_LINES)
     out = (
         incident_rows(members)
-        .join(first_k(members, "block_id", "block_id", PREVIEW_BLOCKS, "block_ids"), "incident_id")
+        .join(all_of(members, "block_id", "block_ids"), "incident_id")
         .join(counts, "incident_id", "left")
         .join(n_tpl, "incident_id", "left")
         .join(incident_time_range(lines), "incident_id", "left")
         .join(first_k(head, "line_no", "content", PREVIEW_LINES, "log_lines"), "incident_id", "left")
-        .join(first_k(tpl, "template", "template", PREVIEW_TEMPLATES, "templates"), "incident_id", "left")
+        .join(all_of(tpl, "template", "templates"), "incident_id", "left")
     )
     return out.select(
         "incident_id", "size", "mean_anomaly_score", "severity", "block_ids",

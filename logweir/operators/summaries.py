@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions import text as X
-from logweir.operators.incidents import PREVIEW_BLOCKS, PREVIEW_LINES, listed
+from logweir.operators.incidents import PREVIEW_LINES
 
 # Prompt sizes, answer limits and prices per million tokens
 JUDGE_LINES = 30
@@ -48,21 +48,17 @@ def summary_prompts(inc: DataFrame) -> DataFrame:
     incident as produced by ``enrich``."""
     lines = F.array_join(F.transform(F.slice("log_lines", 1, PREVIEW_LINES), lambda x: F.concat(F.lit("  "), x)), "\n")
     tpl = F.array_join(F.transform("templates", lambda x: F.concat(F.lit("  - "), x)), "\n")
-    more = F.when(
-        F.col("template_count") > F.size("templates"),
-        F.format_string("\n  (+%d more)", F.col("template_count") - F.size("templates")),
-    ).otherwise("")
     text = F.concat(
         F.lit(SUMMARY_INSTRUCTIONS + "\n\n"),
         F.format_string("Incident %d\n", F.col("incident_id")),
         F.format_string("From %s to %s\n", F.col("time_range.start"), F.col("time_range.end")),
-        F.lit("Blocks: "), listed(F.col("block_ids"), F.col("size"), PREVIEW_BLOCKS), F.lit("\n"),
+        F.lit("Blocks: "), F.array_join("block_ids", ", "), F.lit("\n"),
         F.format_string("Mean score: %.4f\n", F.col("mean_anomaly_score")),
         F.format_string("Severity: %.4f\n", F.col("severity")),
         F.format_string("Log lines (%d in all):\n", F.col("line_count")),
         F.when(lines == "", F.lit("  (no log lines)")).otherwise(lines),
         F.lit("\nTemplates:\n"),
-        F.when(tpl == "", F.lit("  (no templates)")).otherwise(F.concat(tpl, more)),
+        F.when(tpl == "", F.lit("  (no templates)")).otherwise(tpl),
     )
     return inc.select("incident_id", text.alias("prompt"))
 

@@ -12,7 +12,6 @@ from logweir.session import materialize
 # Tuning grid, sample size and score weights
 SIM_THS = (0.3, 0.4, 0.5, 0.6)
 DEPTHS = (3, 4, 5)
-SAMPLE_LINES = 50_000
 
 
 def coverage(assign: DataFrame) -> DataFrame:
@@ -103,9 +102,10 @@ def rank_combos(metrics: DataFrame) -> DataFrame:
     return out.withColumn("is_best_ari", flag).orderBy("rank")
 
 
-def tuning_sample(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
-    """(line_id, content): the first n lines with their prefix cut off."""
-    return lines.orderBy("line_id").limit(n).select("line_id", X.strip_prefix(F.col("raw")).alias("content"))
+def tuning_sample(lines: DataFrame, n: int | None = None) -> DataFrame:
+    """(line_id, content): all lines, or the first n, with their prefix cut off."""
+    lines = lines if n is None else lines.orderBy("line_id").limit(n)
+    return lines.select("line_id", X.strip_prefix(F.col("raw")).alias("content"))
 
 
 def sweep_templates(
@@ -113,10 +113,10 @@ def sweep_templates(
     lines: DataFrame,
     sim_ths: tuple[float, ...] = SIM_THS,
     depths: tuple[int, ...] = DEPTHS,
-    sample: int = SAMPLE_LINES,
+    sample: int | None = None,
     catalog: DataFrame | None = None,
 ) -> DataFrame:
-    """One metrics row per (sim_th, depth) on a sample, all combos in one run.
+    """One metrics row per (sim_th, depth) on all lines (or the first ``sample``), all combos in one run.
 
     The sample is collapsed to signatures once; combos differ only in how the
     signatures are merged.
@@ -139,8 +139,8 @@ def sweep_templates(
     # match every distinct form against the templates of each combo
     forms = sig.select("signature", F.array_join("tokens", " ").alias("form"), "size", "first_line")
     assign = _match_by_combo(forms, found, keys)
-    total = F.lit(float(text.count()))
     n_lines = text.count()
+    total = F.lit(float(n_lines))
     per_tpl = assign.where("template_id is not null").groupBy(*keys, "template_id").agg(
         F.sum("size").alias("n"), F.min("first_line").alias("first_line")
     )

@@ -359,33 +359,14 @@ def with_params(ev: DataFrame) -> DataFrame:
 
 # -- ground truth ------------------------------------------------------------------
 
-CATALOG_BRANCHES = 200
-
-
 def assign_catalog(df: DataFrame, catalog: DataFrame, col: str = "content") -> DataFrame:
     """Adds ``gt_id``: the first catalog regex found in the text, else -1.
 
-    Distinct texts are tested once.  A catalog of a few hundred regexes becomes
-    one chain of conditions; a larger one is broadcast to an Arrow function.
+    Distinct texts are tested once, by one flat expression for a catalog (a
+    hand-written file) of any size.
     """
-    rows = catalog.orderBy("idx").collect()  # a hand-written catalog file
+    rows = catalog.orderBy("idx").collect()
     texts = df.select(col).distinct()
-    if len(rows) <= CATALOG_BRANCHES:
-        chain = F.lit(-1)
-        for r in reversed(rows):
-            chain = F.when(F.col(col).rlike(r["regex"]), F.lit(int(r["idx"]))).otherwise(chain)
-        tested = texts.withColumn("gt_id", chain.cast("long"))
-    else:
-        shared = df.sparkSession.sparkContext.broadcast(
-            [(int(r["idx"]), r["regex"].replace("(?i)(?d)", "(?i)")) for r in rows]
-        )
-
-        @F.pandas_udf("long")
-        def first_hit(s: pd.Series) -> pd.Series:
-            import re
-
-            pats = [(i, re.compile(p)) for i, p in shared.value]
-            return s.map(lambda t: next((i for i, p in pats if p.search(t)), -1)).astype("int64")
-
-        tested = texts.withColumn("gt_id", first_hit(col))
+    hits = [F.when(F.col(col).rlike(r["regex"]), F.lit(int(r["idx"]))) for r in rows]
+    tested = texts.withColumn("gt_id", F.coalesce(*hits, F.lit(-1)).cast("long"))
     return df.join(tested, col)

@@ -202,10 +202,10 @@ def llm_eval_summary(spark, sf):
     where doc_id % 11 <> 0 and doc_id % 5 <> 4 and doc_id % 7 >= 2) a using (incident_id)
   left join (select * from ({_USAGE}) x where incident_id % 2 = 0) u using (incident_id)""")
 def summarized_join(spark, sf):
-    from logweir.operators.incidents import first_k, incident_rows
+    from logweir.operators.incidents import all_of, incident_rows
 
     m = _members(spark, sf)
-    inc = incident_rows(m).join(first_k(m, "block_id", "block_id", 200, "block_ids"), "incident_id")
+    inc = incident_rows(m).join(all_of(m, "block_id", "block_ids"), "incident_id")
     good, _ = S.parse_summaries(_answers(spark, sf, _answer))
     usage = S.usage_cost(_usage(spark, sf)).where("incident_id % 2 = 0")
     return r6(S.summarized(inc, good, usage).select(
@@ -224,7 +224,7 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_BLOCKS = """array_to_string(b[1:200], ', ') || case when len(b) > 200 then ' (+' || (len(b) - 200) || ' more)' else '' end"""
+_BLOCKS = "array_to_string(b, ', ')"
 
 
 @query("build_prompts", with_("sev", f"""

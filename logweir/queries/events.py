@@ -349,7 +349,7 @@ def block_filter(spark, sf):
 @query("strip_log_prefix", f"""
   select line_id, case when len(f) >= 5 then regexp_replace(raw, '^(?:\\S+\\s+){{4}}', '') else raw end as content
   from (select line_id, raw, string_split_regex(raw, '\\s+') as f from ({CTE['lines']}) l) x
-  order by line_id limit 50000""")
+""")
 def strip_log_prefix(spark, sf):
     from logweir.operators.template_quality import tuning_sample
 

@@ -115,21 +115,21 @@ def sgd_ocsvm(spark, sf):
     return _decided(OneClassSvm(0.05, 100, gamma="width").score(scaled_blocks(spark, sf)), 0.05)
 
 
-def _stored_model(spark, sf):
-    """Train on the first half of the log and store the model."""
+def _stored_model(spark, sf, half: bool = False):
+    """Train on the log, or on its first half, and store the model."""
     log = lines(spark, sf)
-    half = log.agg(F.max("line_id")).first()[0] // 2
-    ev, tpl = flows.templated_events(log.where(F.col("line_id") <= half), "hdfs")
+    known = log.where(F.col("line_id") <= log.agg(F.max("line_id")).first()[0] // 2) if half else log
+    ev, tpl = flows.templated_events(known, "hdfs")
     model, space, _ = flows.detect(ev)
     path = f"{work_dir(spark)}/model-{uuid.uuid4().hex}"
-    stores.save_model(model, space, tpl, path, "forest", "first-half")
+    stores.save_model(model, space, tpl, path, "forest", "first-half" if half else "whole")
     return path, log
 
 
 @query("infer")
 def infer(spark, sf):
-    """The whole log decided by a model of its first half."""
-    path, log = _stored_model(spark, sf)
+    """The whole log decided by a model of its first half (train and apply)."""
+    path, log = _stored_model(spark, sf, half=True)
     model, space, seed = stores.load_model(spark, path)
     ev, _ = flows.templated_events(log, "hdfs", seed)
     return r6(flows.infer(ev, model, space).select("block_id", "score", "anomaly_score", "is_anomaly"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +29,13 @@ def get_spark(app: str = "logweir", master: str | None = None, **conf: str) -> S
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables (``spark.checkpoint.dir``).
 
-    Only a local-mode session that names no folder gets one of its own; on a
-    cluster a machine-local folder would not be readable by other executors.
+    There is no default: a machine-local folder would not be readable by other
+    executors.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="logweir-")
-        sc.setCheckpointDir(folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return folder.rstrip("/")
 
 

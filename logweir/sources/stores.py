@@ -51,7 +51,8 @@ def refresh_events(
         parsed = parse_lines(scan_log(spark, [r["path"] for r in rows]), log_format)
         parsed.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(events)
         spark.createDataFrame(rows).write.mode("append").parquet(seen)
-    return read_events(spark, store)
+    # a file that is gone takes its events with it
+    return read_events(spark, store).join(now.select("path"), "path", "left_semi")
 
 
 def read_events(spark: SparkSession, store: str) -> DataFrame:

@@ -156,3 +156,12 @@ def test_request_metrics(spark):
     assert h["0.005"] == 1 and h["0.25"] == 1 and h["0.5"] == 2 and h["10.0"] == 2 and h["Inf"] == 3 and len(h) == 12
     assert M.counters(df, ["path"]).first().total == pytest.approx(99.304)
     assert M.gauges(df, ["path"]).first().value == 99.0
+
+
+def test_large_incident_keeps_all_blocks_and_templates(spark):
+    members = spark.createDataFrame([(0, f"blk_{i:04d}", -0.3) for i in range(500)], "incident_id long, block_id string, anomaly_score double")
+    rows = [(0, f"blk_{i:04d}", i + 1, i + 1, f"line {i}", f"template {i:04d} <*>", "t") for i in range(500)]
+    lines = spark.createDataFrame(rows, "incident_id long, block_id string, line_no long, line_id long, content string, template string, timestamp string")
+    r = I.enrich(members, lines).first()
+    assert len(r.block_ids) == len(r.templates) == r.template_count == 500 and len(r.log_lines) == I.PREVIEW_LINES
+    assert r.block_ids == sorted(r.block_ids) and r.templates == sorted(r.templates)

@@ -239,3 +239,15 @@ def test_sweep_ranks_and_skips(spark, make_events):
     flat = make_events([(i, f"b{i}", 1) for i in range(30)])
     skipped = sweep(flat, lab, ("elliptic",), "freq_only", {"elliptic": {"contamination": [0.05]}}).first()
     assert skipped.skipped and skipped.f1 == -1.0
+
+
+@pytest.mark.parametrize("width", [3, 300])
+def test_nearest_neighbours_are_exact_far_from_the_origin(spark, width):
+    x = 1e6 + np.random.default_rng(4).normal(size=(60, width)) * 1e-3
+    rows = [(f"b{i:02d}", v.tolist()) for i, v in enumerate(x)]
+    cells = NB.build_cells(NB.distinct_points(spark.createDataFrame(rows, "block_id string, features array<double>")), 60)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got = {(int(r.pid[1:]), int(r.other[1:])): r.d for r in NB.nearest_neighbors(cells, 5).collect()}
+    assert set(got) == {(i, int(j)) for i in range(60) for j in np.argsort(d[i])[:5]}
+    assert all(v == pytest.approx(d[i, j], rel=1e-6) for (i, j), v in got.items())

@@ -82,6 +82,8 @@ def test_refresh_parses_only_changed_files(spark, tmp_path):
     got = stores.refresh_events(spark, str(src), store, "hdfs")
     assert {r.block_id: r["count"] for r in got.groupBy("block_id").count().collect()} == {"blk_1": 5, "blk_2": 1}
     assert stores.refresh_events(spark, str(src), store, "hdfs", force=True).count() == 6
+    (src / "b.log").unlink()
+    assert stores.refresh_events(spark, str(src), store, "hdfs").count() == 5
 
 
 def test_template_store_versions_and_clear(spark, tmp_path):

@@ -133,12 +133,14 @@ def test_assign_against_brute_force(spark):
     assert all(r.template == r.content for r in got.values() if r.template_id == -1)
 
 
-@pytest.mark.parametrize("limit", [200, 0])
-def test_catalog_takes_the_first_hit(spark, monkeypatch, limit):
-    monkeypatch.setattr(T, "CATALOG_BRANCHES", limit)
-    cat = spark.createDataFrame([(0, "(?i)(?d)open .*"), (1, "(?i)(?d)open file")], "idx long, regex string")
-    got = {r.content: r.gt_id for r in T.assign_catalog(as_events(spark, ["OPEN FILE", "open", "reopen it"]), cat).collect()}
-    assert got == {"OPEN FILE": 0, "open": -1, "reopen it": 0}
+@pytest.mark.parametrize("more", [0, 400])
+def test_catalog_takes_the_first_hit(spark, more):
+    # one engine for catalogs of any size, so the same texts match in both
+    rows = [(0, "(?i)(?d)open .*"), (1, "(?i)(?d)open file"), (2, "(?i)\u00e9chec disk")]
+    cat = spark.createDataFrame(rows + [(3 + i, f"never {i} here") for i in range(more)], "idx long, regex string")
+    lines = ["OPEN FILE", "open", "reopen it", "\u00c9CHEC disk 1"]
+    got = {r.content: r.gt_id for r in T.assign_catalog(as_events(spark, lines), cat).collect()}
+    assert got == {"OPEN FILE": 0, "open": -1, "reopen it": 0, "\u00c9CHEC disk 1": -1}
 
 
 def test_quality_metrics(spark):
