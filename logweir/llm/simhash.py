@@ -241,7 +241,12 @@ def simhash_components(docs: DataFrame, size: int = 3, max_bits: int = 2) -> Dat
 def one_of_each(docs: DataFrame, size: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each component: the one of smallest doc_id (null:
     last), then of smallest text hash; of rows alike in both, any one."""
-    rows = stored(_components(docs, size, max_bits).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")), "fingerprint-rows")
+    return first_of_each(docs, _components(docs, size, max_bits))
+
+
+def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root, by the (doc_id, h, root) of its rows, as ``one_of_each`` says."""
+    rows = stored(rooted.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")), "fingerprint-rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
     first = stored(first.select("root", F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h")), "fingerprint-firsts")
     key, i, h = fresh(docs, "_k", "_id", "_h")
