@@ -272,6 +272,20 @@ def test_repeated_passages(spark, odd, empty):
     assert chaining.repeated_passages(odd).count() == 0 and chaining.repeated_passages(empty).count() == 0
 
 
+def test_passages_whose_seeds_stand_elsewhere(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(20_000)]
+    p = rng.choices(words, k=60)
+    scraps = [rng.choices(words, k=30) + p[k : k + 12] + rng.choices(words, k=30) for k in range(0, 60, 7)]
+    whole = [rng.choices(words, k=80) + p + rng.choices(words, k=80) for _ in range(2)]
+    texts = [*scraps, whole[0], *scraps[::-1], whole[1]]  # scraps are first and last before the second
+    texts[len(scraps) + 1 : -1] = [rng.choices(words, k=9) + t[30:42] for t in texts[len(scraps) + 1 : -1]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    last = got[len(rows) - 1]
+    assert len(scraps) in last.sources and 60 <= last.n_repeated <= 62 and set(got) <= {len(scraps), len(rows) - 1}
+
+
 # -- mixing ----------------------------------------------------------------------------------------------
 
 def test_mixture_meets_its_targets(spark, odd, empty):
