@@ -286,6 +286,22 @@ def test_passages_whose_seeds_stand_elsewhere(spark):
     assert len(scraps) in last.sources and 60 <= last.n_repeated <= 62 and set(got) <= {len(scraps), len(rows) - 1}
 
 
+def test_edited_passages(spark):
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(20_000)]
+    rows = []
+    for n, share in ((60, 0.05), (60, 0.1), (100, 0.1), (100, 0.15)):  # every tenth word, or as many at random
+        for k in range(10):
+            p = rng.choices(words, k=n)
+            q, inner = list(p), range(4, n - 4)
+            for at in range(9, n - 4, 10) if share == 0.1 and k < 5 else rng.sample(inner, round(share * n)):
+                q[at] = "edit"
+            for x in (p, q):
+                rows.append((len(rows), " ".join(rng.choices(words, k=50) + x + rng.choices(words, k=50))))
+    got = {r.doc_id for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got <= set(range(1, len(rows), 2)) and len(got) >= 0.95 * len(rows) / 2
+
+
 # -- mixing ----------------------------------------------------------------------------------------------
 
 def test_mixture_meets_its_targets(spark, odd, empty):
