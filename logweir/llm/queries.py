@@ -9,11 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import chaining, language, licenses, line_dedup, mixing, pii, quality, simhash, suffix_dedup, tiling
+from logweir.llm import (
+    chaining, conversations, language, licenses, line_dedup, mixing, pii, pivots, quality, simhash, suffix_dedup, tiling, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: SQL can't express hashes, models and alignments of these; tests hold each query
-#: against a brute-force version instead.
+#: Where there is none, SQL can't express hashes, models and alignments; tests hold the
+#: query against a brute-force version instead.
 ORACLES: dict[str, str] = {}
 
 
@@ -87,3 +89,35 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = line_dedup.without_repeated_lines(_table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", _sha("text").alias("kept_sha256"))
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "conversations")
+    found = conversations.digests(conversations.repair(conversations.damaged(rows))).withColumnRenamed("conv_id", "found_id")
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@_query
+def op12_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return pivots.top_k(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op12_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf, "embeddings"))
