@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions import text as X
@@ -123,3 +123,23 @@ def best_entity(lines: DataFrame, threshold: float = ENTITY_SHARE) -> DataFrame:
 def detect_entity(lines: DataFrame, threshold: float = ENTITY_SHARE) -> str | None:
     row = best_entity(lines, threshold).first()
     return row["name"] if row else None
+
+
+def _first_best(shares: list[tuple[str, Column]], least: float) -> Column:
+    """The name with the highest share of at least ``least``, the first of equals."""
+    found = F.array(*[F.struct(v.alias("share"), F.lit(-i).alias("seq"), F.lit(n).alias("name")) for i, (n, v) in enumerate(shares)])
+    good = F.filter(found, lambda x: (x["share"] >= least) & (x["share"] > 0))
+    return F.when(F.size(good) > 0, F.array_max(good)["name"])
+
+
+def file_formats(lines: DataFrame) -> DataFrame:
+    """(path, format, entity) of (path, line_id, raw) lines numbered per file: what
+    the first lines of each file look like, in one grouped pass over them.  A
+    format of null is the generic one, for which the entity pattern is looked for."""
+    head = F.col("line_id") <= DETECT_LINES
+    fits = [F.avg(F.when(head, F.col("raw").rlike(f.pattern).cast("double"))).alias(f"f{i}") for i, f in enumerate(registered())]
+    holds = [F.avg(F.col("raw").rlike(p).cast("double")).alias(f"e{i}") for i, p in enumerate(X.ENTITY_SHAPES)]
+    shares = lines.where(F.col("line_id") <= max(ENTITY_LINES, DETECT_LINES)).groupBy("path").agg(*fits, *holds)
+    named = _first_best([(f.name, F.col(f"f{i}")) for i, f in enumerate(registered())], DETECT_SHARE)
+    entity = _first_best([(p, F.col(f"e{i}")) for i, p in enumerate(X.ENTITY_SHAPES)], ENTITY_SHARE)
+    return shares.select("path", named.alias("format"), F.when(named.isNull(), entity).alias("entity"))

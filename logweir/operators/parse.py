@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions import text as X
-from logweir.operators.formats import LogFormat, detect_entity, detect_format, get_format
+from logweir.operators.formats import LogFormat, detect_entity, detect_format, file_formats, get_format, registered
 
 EVENT_COLS = ("timestamp", "level", "component", "content", "block_id")
 _SEP = "\x01\x02"
@@ -110,11 +111,60 @@ def parse_lines(df: DataFrame, log_format: str = "auto", entity: str | None = No
     return parse_with(df, plan)
 
 
+def parse_files(lines: DataFrame, formats: DataFrame) -> DataFrame:
+    """Events of the lines of many files, each in its own format: ``formats`` has
+    (path, format, entity) rows, a null format being the generic one.
+
+    One pass with a branch per format; a line runs the patterns of its own
+    branch only.  Adds ``format`` ('generic' where none is registered).
+    """
+    known = lines.join(formats.select("path", F.coalesce("format", F.lit("generic")).alias("format"), "entity"), "path")
+    is_generic = F.col("format") == "generic"
+    names = ("timestamp", "level", "component", "content")
+
+    def rewritten(fmt: LogFormat) -> Column:
+        parts = _SEP.join(_refs(fmt.groups[n]) if n in fmt.groups else "" for n in names)
+        return F.split(F.regexp_replace("raw", fmt.pattern, parts), _SEP, len(names))
+
+    def by_format(branch: Callable[[LogFormat], Column], otherwise: Column) -> Column:
+        out = F.when(is_generic, otherwise)
+        for fmt in registered():
+            out = out.when(F.col("format") == fmt.name, branch(fmt))
+        return out
+
+    cut = known.withColumn("_rest", F.when(is_generic, X.after_ts(F.col("raw")))).withColumn("_cut", F.when(is_generic, X.after_level(F.col("_rest"))))
+    content = X.strip(F.col("_cut"))
+    generic = F.array(
+        X.generic_ts(F.col("raw")), X.generic_level(F.col("_rest")), X.generic_component(F.col("_cut")),
+        F.when(content == "", F.col("raw")).otherwise(content),
+    )
+    fields = by_format(
+        lambda fmt: F.when(matches(F.col("raw"), fmt), rewritten(fmt)), F.when(X.strip(F.col("raw")) != "", generic)
+    )
+    hit = cut.withColumn("_f", fields).where(F.col("_f").isNotNull())
+    got = {n: F.col("_f")[i] for i, n in enumerate(names)}
+    out = hit.select(
+        *lines.columns, "format", "entity",
+        got["timestamp"].alias("timestamp"), X.norm_level(got["level"]).alias("level"), got["component"].alias("component"), got["content"].alias("content"),
+    )
+    shaped = F.lit("")
+    for p in X.ENTITY_SHAPES:
+        shaped = F.when(F.col("entity") == p, X.entity_generic(F.col("raw"), p)).otherwise(shaped)
+    block = by_format(lambda fmt: X.entity(F.col("content"), F.col("raw"), fmt.entity), shaped)
+    return out.withColumn("block_id", block).drop("entity")
+
+
+def parse_each_file(lines: DataFrame, log_format: str = "auto") -> DataFrame:
+    """Events of (path, line_id, raw) lines numbered per file, with ``format``:
+    the given one for all files, or with ``auto`` each file's own."""
+    if log_format == "auto":
+        return parse_files(lines, file_formats(lines))
+    return parse_lines(lines, log_format).withColumn("format", F.lit(log_format))
+
+
 def parse_first_match(df: DataFrame) -> DataFrame:
     """Line-at-a-time auto mode: the first line that fits a registered format
     fixes it for all later lines; lines before it are parsed generically."""
-    from logweir.operators.formats import registered
-
     first = df.agg(
         *[F.min(F.when(matches(F.col("raw"), f), F.col("line_id"))).alias(f.name) for f in registered()]
     ).first()

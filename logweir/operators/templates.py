@@ -4,6 +4,15 @@ Mining follows the published fixed-depth parse tree (He et al., "Drain", ICWS
 2017).  A strict replay is sequential, so here lines are first collapsed to
 distinct digit-masked signatures (a map-side aggregate that removes nearly all
 rows), and only the signatures of one tree leaf are merged together.
+
+Inside a leaf the merge is a greedy choice of leaders: in the order of appearance
+a signature joins the most similar leader before it, or becomes a leader if none
+shares ``sim_th`` of its positions; the template of a leader is what all that
+joined it have in common.  The result depends on that order alone, not on how the
+work is cut.  A leaf of any size is settled in batches of its first open rows:
+one task finds a batch's leaders, then all later rows meet just these, in chunks.
+A row without a leader stays open, so every round settles its whole batch and all
+rows that resemble one of its leaders.
 """
 
 from __future__ import annotations
@@ -14,13 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.functions import text as X
-from logweir.operators.ids import dense_by_number
+from logweir.operators.ids import dense_by_number, dense_by_order
 from logweir.session import fan_out, materialize
 
 # Fixed values of the published tree
 MAX_CHILDREN = 100
-LEAF_CHUNK = 5_000  # signatures merged by one task
-MAX_ROUNDS = 8
+LEAF_CHUNK = 5_000  # signatures that meet in one task
+PAIRS = 1 << 20  # candidate pairs held at a time
 
 W = X.WILDCARD
 
@@ -130,110 +139,182 @@ def leaf_keys(sig: DataFrame, depth: Column, max_depth: int, keys: list[str]) ->
     return out.withColumn("leaf", leaf).drop(*[c for c in out.columns if c.startswith(("_k", "_c", "_n"))])
 
 
-def merge_leaf(pdf: pd.DataFrame, sim_th: float) -> pd.DataFrame:
-    """Merge the token lists of one leaf in row order into templates.
+def need(width: int, sim_th: float) -> int:
+    """Least number of equal positions of similar rows; one literal at least."""
+    return max(1, int(np.ceil(width * sim_th - 1e-9)))
 
-    All lists have one length; tokens are compared as integer codes, 0 being
-    the wildcard.  Rows with ``seed_id`` >= 0 are existing templates.
-    """
-    rows = np.array(pdf["tokens"].tolist(), dtype=object)
-    width = rows.shape[1]
-    flat, uniq = pd.factorize(np.concatenate([[W], rows.ravel()]))
-    codes = flat[1:].reshape(rows.shape)
-    seeds = pdf["seed_id"].to_numpy()
-    cl = np.empty_like(codes)
-    owner = np.empty(len(codes), dtype=np.int64)
+
+def find_leaders(codes: np.ndarray, fixed: np.ndarray, least: int) -> np.ndarray:
+    """Which rows become leaders, in row order; ``fixed`` rows always do.  Code 0
+    is the wildcard, which equals nothing."""
+    lead = np.zeros(len(codes), bool)
+    heads = np.empty_like(codes)
     k = 0
-    head: list[int] = []
     for i, row in enumerate(codes):
-        best = -1
-        if k and seeds[i] < 0:
-            lit = cl[:k] != 0
-            same = ((cl[:k] == row) & lit).sum(axis=1)
-            wild = width - lit.sum(axis=1)
-            j = int(np.lexsort((-wild, -same))[0])
-            if same[j] / width >= sim_th:
-                best = j
-        if best < 0:
-            cl[k] = row
-            head.append(i)
-            best, k = k, k + 1
-        else:
-            cl[best] = np.where(cl[best] == row, row, 0)
-        owner[i] = best
-    size = np.bincount(owner, weights=pdf["size"].to_numpy(), minlength=k).astype(np.int64)
-    first = pd.Series(pdf["first_line"].to_numpy()).groupby(owner).min()
-    return pd.DataFrame(
-        {
-            "tokens": [[uniq[c] for c in cl[j]] for j in range(k)],
-            "size": size,
-            "first_line": first.to_numpy(),
-            "seed_id": seeds[head],
-        }
-    )
+        if fixed[i] or not k or int(((heads[:k] == row) & (row != 0)).sum(axis=1).max()) < least:
+            heads[k] = row
+            lead[i] = True
+            k += 1
+    return lead
 
 
-def _merge_round(sig: DataFrame, keys: list[str], rows: int, cut: bool) -> DataFrame:
-    """Merge the rows of every leaf; ``cut`` splits big leaves into salted
-    chunks first.  Many small leaves share a task: leaves are dealt to buckets
-    of about LEAF_CHUNK rows and told apart inside."""
-    group = [*keys, "leaf"]
-    sig = sig.withColumn("chunk", F.lit(0).cast("long"))
-    if cut:
-        counts = sig.groupBy(*group).agg(F.count("*").alias("_cnt"))
-        salt = F.pmod(F.xxhash64("tokens"), F.ceil(F.col("_cnt") / LEAF_CHUNK))
-        sig = sig.join(counts, group).withColumn(
-            "chunk", F.when(F.col("_cnt") > LEAF_CHUNK, salt).otherwise(0)
-        ).drop("_cnt")
-    cores = sig.sparkSession.sparkContext.defaultParallelism
-    buckets = max(min(4 * cores, -(-rows // 50)), -(-rows // LEAF_CHUNK))
-    sig = sig.withColumn("bucket", F.pmod(F.xxhash64(*group, "chunk"), F.lit(buckets)))
-    cols = [*group, "sim_th", "tokens", "size", "first_line", "seed_id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_new=pdf["seed_id"] < 0, _txt=pdf["tokens"].map(" ".join))
-        pdf = pdf.sort_values(["_new", "seed_id", "first_line", "_txt"], ignore_index=True)
-        by = [*group, "chunk"]
-        alone = ~pdf.duplicated(by, keep=False)
-        out = [pdf.loc[alone, cols]]
-        for at, part in pdf[~alone].groupby(by, sort=False):
-            merged = merge_leaf(part, float(part["sim_th"].iloc[0])).assign(sim_th=part["sim_th"].iloc[0])
-            out.append(merged.assign(**dict(zip(group, at)))[cols])
-        return pd.concat(out)
-
-    return fan_out(sig, "bucket", groups=buckets).groupBy("bucket").applyInPandas(run, sig.select(*cols).schema)
-
-
-def _largest_leaf(sig: DataFrame, keys: list[str]) -> tuple[int, int]:
-    row = (
-        sig.groupBy(*keys, "leaf").count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
-    )
-    return int(row["m"] or 0), int(row["n"] or 0)
+def closest(codes: np.ndarray, rank: np.ndarray, heads: np.ndarray, head_rank: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(equal positions, rank of the leader) of each row's most similar leader
+    before it, the earliest of equals; 0 and -1 where none has ``least``.
+
+    A Hamming join: leaders are listed by (position, token).  Rows that share
+    ``least`` of m literals share one of any m - least + 1 of them, so a row is
+    looked up by the positions where it meets fewest leaders only.
+    """
+    n, width = codes.shape
+    score, owner = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    if not len(heads) or not n:
+        return score, owner
+    order = np.argsort(heads, axis=0, kind="stable")
+    low, high = np.empty((n, width), np.int64), np.empty((n, width), np.int64)
+    for p in range(width):
+        lists = heads[order[:, p], p]
+        low[:, p], high[:, p] = np.searchsorted(lists, codes[:, p]), np.searchsorted(lists, codes[:, p], "right")
+    size = np.where(codes == 0, len(heads) + 1, high - low)
+    by_size = np.argsort(size, axis=1, kind="stable")
+    probes = (codes != 0).sum(axis=1) - least + 1  # none where too few literals are left
+    used = np.arange(width) < probes[:, None]
+    total = np.cumsum(np.where(used, np.take_along_axis(size, by_size, 1), 0).sum(axis=1))
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        rows, cols = np.nonzero(used[at:end])
+        pos = by_size[at:end][rows, cols]
+        first, count = low[at:end][rows, pos], (high - low)[at:end][rows, pos]
+        row = np.repeat(rows, count)
+        head = order[np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), np.repeat(pos, count)]
+        pair = np.unique(row * len(heads) + head)
+        row, head = pair // len(heads) + at, pair % len(heads)
+        keep = head_rank[head] < rank[row]
+        row, head = row[keep], head[keep]
+        same = ((codes[row] == heads[head]) & (codes[row] != 0)).sum(axis=1)
+        keep = same >= least
+        row, head, same = row[keep], head[keep], same[keep]
+        best = np.lexsort((head_rank[head], -same, row))
+        best = best[np.r_[True, np.diff(row[best]) > 0]] if len(best) else best
+        score[row[best]], owner[row[best]] = same[best], head_rank[head[best]]
+        at = end
+    return score, owner
+
+
+def _codes(*tables: pd.Series) -> list[np.ndarray]:
+    """Token lists of one length as rows of numbers, 0 being the wildcard."""
+    rows = [np.array(t.tolist(), dtype=object).reshape(len(t), -1) for t in tables]
+    width = max(r.shape[1] for r in rows)
+    flat, _ = pd.factorize(np.concatenate([[W], *[r.ravel() for r in rows]]))
+    cuts = np.cumsum([r.size for r in rows])[:-1]
+    return [c.reshape(-1, width) for c in np.split(flat[1:], cuts)]
+
+
+def _settled(pdf: pd.DataFrame, leaf: list[str]) -> pd.DataFrame:
+    """Whole leaves: leaders, and the leader of every other row."""
+    pdf = pdf.sort_values("rank", ignore_index=True)
+    lead, owner = np.ones(len(pdf), bool), pdf["rank"].to_numpy().copy()
+    for at in pdf.groupby(leaf, sort=False).indices.values():
+        if len(at) > 1:
+            (codes,), rank = _codes(pdf["tokens"].iloc[at]), owner[at]
+            least = need(codes.shape[1], float(pdf["sim_th"].iloc[at[0]]))
+            lead[at] = find_leaders(codes, pdf["seed_id"].to_numpy()[at] >= 0, least)
+            _, mine = closest(codes, rank, codes[lead[at]], rank[lead[at]], least)
+            owner[at] = np.where(lead[at], rank, mine)
+    return pdf.assign(owner=owner)
+
+
+def _ranked(sig: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``rank``, dense over all leaves: templates of earlier runs
+    first, then by first line and text."""
+    text = F.array_join("tokens", " ")
+    order = sig.withColumn("_new", F.col("seed_id") < 0).withColumn("_text", text)
+    return dense_by_order(order, ["_new", "seed_id", "first_line", "_text", *keys], "rank").drop("_new", "_text")
+
+
+def _settle_large(rows: DataFrame, leaf: list[str], sizes: DataFrame) -> DataFrame:
+    """``owner`` for the rows of leaves that no single task should hold."""
+    cols = [*leaf, "sim_th", "tokens", "size", "first_line", "seed_id", "rank"]
+    parts = F.ceil(F.col("rows") / LEAF_CHUNK).cast("int").alias("parts")
+    cur = rows.join(sizes.select(*leaf, parts), leaf).select(
+        *cols, "parts", F.pmod(F.xxhash64("rank"), F.col("parts")).cast("int").alias("chunk"),
+        F.lit(0).cast("long").alias("same"), F.lit(-1).cast("long").alias("owner"))
+    cur = materialize(cur, "open-rows")
+    while True:
+        # a batch of a leaf: its first open rows, by whole rank ranges of LEAF_CHUNK
+        is_open = F.col("owner") < 0
+        ranges = cur.where(is_open).groupBy(*leaf, F.floor(F.col("rank") / LEAF_CHUNK).alias("range")).agg(F.count("*").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy(*leaf).orderBy("range"))
+        first = F.row_number().over(Window.partitionBy(*leaf).orderBy("range"))
+        ends = (
+            ranges.withColumn("sum", so_far).withColumn("nth", first).where((F.col("sum") <= 2 * LEAF_CHUNK) | (F.col("nth") == 1))
+            .groupBy(*leaf).agg(((F.max("range") + 1) * LEAF_CHUNK).alias("end"), (F.min("range") * LEAF_CHUNK).alias("start"))
+        )
+        ends = materialize(ends, "batches")
+        if not ends.take(1):
+            return cur.select(*cols, "owner")
+        batch = cur.where(is_open).join(ends, leaf).where("rank < end")
+
+        def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("rank", ignore_index=True)
+            (codes,) = _codes(pdf["tokens"])
+            return pdf[find_leaders(codes, pdf["seed_id"].to_numpy() >= 0, need(codes.shape[1], float(pdf["sim_th"].iloc[0])))]
+
+        shape = batch.select(*leaf, "sim_th", "tokens", "seed_id", "rank", "parts").schema
+        heads = materialize(batch.select(shape.names).groupBy(*leaf).applyInPandas(lead, shape), "leaders")
+        copies = heads.select(*leaf, "tokens", "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"))
+        later = cur.join(ends.select(*leaf, "start"), leaf, "left").where("start is not null and rank >= start").drop("start")
+        done = cur.join(ends.select(*leaf, "start"), leaf, "left").where("start is null or rank < start").drop("start")
+
+        def meet(key: tuple, pdf: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf) or not len(heads):
+                return pdf
+            codes, head_codes = _codes(pdf["tokens"], heads["tokens"])
+            rank, head_rank = pdf["rank"].to_numpy(), heads["rank"].to_numpy()
+            same, owner = closest(codes, rank, head_codes, head_rank, need(codes.shape[1], float(pdf["sim_th"].iloc[0])))
+            before, mine = pdf["same"].to_numpy(), pdf["owner"].to_numpy()
+            better = (same > before) & (mine != rank) & (pdf["seed_id"].to_numpy() < 0)  # earlier leaders win ties
+            owner, same = np.where(better, owner, mine), np.where(better, same, before)
+            leads = np.isin(rank, head_rank)
+            return pdf.assign(owner=np.where(leads, rank, owner), same=same)
+
+        by = [*leaf, "chunk"]
+        met = later.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(meet, cur.schema)
+        cur = materialize(done.unionByName(met), "open-rows")
 
 
 def merge_signatures(sig: DataFrame, depth: Column, max_depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Templates (keys, tokens, size, first_line, seed_id) of a signature table
     with columns tokens, size, first_line, sim_th and seed_id (-1 = new)."""
-    k = list(keys)
-    cols = [*k, "leaf", "sim_th", "tokens", "size", "first_line", "seed_id"]
-    cur = materialize(leaf_keys(sig, depth, max_depth, k).select(*cols), "leaves")
-    for _ in range(MAX_ROUNDS):
-        big = total = cur.count()
-        if total > LEAF_CHUNK:
-            big, total = _largest_leaf(cur, k)
-        cur = materialize(_merge_round(cur, k, total, big > LEAF_CHUNK).select(*cols), "merged")
-        if big <= LEAF_CHUNK:
-            break
-        # chunks of a big leaf were merged apart: merge their templates again,
-        # until the leaf fits one chunk or nothing merges any more
-        if _largest_leaf(cur, k)[1] > 0.9 * total:
-            break
-    # the same text may have come out of two chunks
-    return cur.groupBy(*k, "tokens").agg(
-        F.sum("size").cast("long").alias("size"),
-        F.min("first_line").alias("first_line"),
-        F.max("seed_id").alias("seed_id"),
-    )
+    k, leaf = list(keys), [*keys, "leaf"]
+    cols = [*leaf, "sim_th", "tokens", "size", "first_line", "seed_id"]
+    rows = materialize(_ranked(leaf_keys(sig, depth, max_depth, k).select(*cols), k), "leaves")
+    sizes = rows.groupBy(*leaf).agg(F.count("*").alias("rows"))
+    large = materialize(sizes.where(F.col("rows") > LEAF_CHUNK), "large-leaves")
+    total = rows.count()
+    small = rows.join(large, leaf, "left_anti")
+    cores = sig.sparkSession.sparkContext.defaultParallelism
+    buckets = max(min(4 * cores, -(-total // 50)), -(-total // LEAF_CHUNK), 1)  # many small leaves share a task
+    small = small.withColumn("bucket", F.pmod(F.xxhash64(*leaf), F.lit(buckets)))
+    shape = small.select(*cols, "rank", F.col("rank").alias("owner")).schema
+    settled = fan_out(small, "bucket", groups=buckets).groupBy("bucket").applyInPandas(lambda pdf: _settled(pdf, leaf)[shape.names], shape)
+    if large.take(1):
+        settled = settled.unionByName(_settle_large(rows.join(large.select(*leaf), leaf, "left_semi"), leaf, large).select(shape.names))
+    settled = materialize(settled, "settled")
+    # what the rows of a leader have in common
+    at = settled.select("owner", F.posexplode("tokens").alias("pos", "t")).groupBy("owner", "pos").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    common = F.struct("pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(W).alias("t"))
+    tokens = at.groupBy("owner").agg(F.transform(F.sort_array(F.collect_list(common)), lambda x: x["t"]).alias("tokens"))
+    sums = settled.groupBy(*k, "owner").agg(F.sum("size").alias("size"), F.min("first_line").alias("first_line"), F.max("seed_id").alias("seed_id"))
+    # different leaders may end at one text; stored templates stay apart, as their ids are known
+    stored = F.collect_list(F.when(F.col("seed_id") >= 0, F.struct("seed_id", "size")))
+    fresh = F.coalesce(F.sum(F.when(F.col("seed_id") < 0, F.col("size"))), F.lit(0)).cast("long")
+    one = sums.join(tokens, "owner").groupBy(*k, "tokens").agg(fresh.alias("n"), F.min("first_line").alias("first_line"), F.sort_array(stored).alias("old"))
+    first = F.get(F.col("old"), F.lit(0))["seed_id"]
+    kept = F.transform("old", lambda s: F.struct(s["seed_id"].alias("seed_id"), (s["size"] + F.when(s["seed_id"] == first, F.col("n")).otherwise(0)).cast("long").alias("size")))
+    new = F.array(F.struct(F.lit(-1).cast("long").alias("seed_id"), F.col("n").alias("size")))
+    return one.select(*k, "tokens", "first_line", F.inline(F.when(F.size("old") > 0, kept).otherwise(new))).select(*k, "tokens", "size", "first_line", "seed_id")
 
 
 def mine_templates(

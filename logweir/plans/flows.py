@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logweir.operators import evaluate as E
 from logweir.operators import summaries as S
@@ -13,7 +14,8 @@ from logweir.operators.features import FeatureSpace, feature_space, sparse_featu
 from logweir.operators.iforest import Forest, IForest
 from logweir.operators.incidents import cluster
 from logweir.operators.metrics import detect_totals
-from logweir.operators.parse import parse_with, plan_parse
+from logweir.operators.formats import file_formats, registered
+from logweir.operators.parse import ParsePlan, parse_files, parse_with, plan_parse
 from logweir.operators.templates import assign_templates, mine_templates, with_params, with_signature
 from logweir.session import materialize
 
@@ -41,10 +43,26 @@ def templated_events(
 ) -> tuple[DataFrame, DataFrame]:
     """(events, templates): parsed, mined and matched; events are stored once
     and every later step reads only the columns it needs.  ``params`` follows
-    from content and template, so it is computed when asked for."""
-    plan = plan_parse(lines, log_format)
-    parsed = materialize(with_signature(parse_with(lines, plan)), "parsed")
-    templates = materialize(mine_templates(parsed, plan.sim_th, plan.depth, seed), "templates")
+    from content and template, so it is computed when asked for.
+
+    With ``auto``, lines of several files (with ``path``, numbered per file as
+    ``file_line``) are parsed in each file's own format, and each format's lines
+    are mined with its own settings on top of the templates so far."""
+    if log_format == "auto" and {"path", "file_line"} <= set(lines.columns):
+        heads = lines.select("path", F.col("file_line").alias("line_id"), "raw")
+        parsed = materialize(with_signature(parse_files(lines, materialize(file_formats(heads), "formats"))), "parsed")
+        found = {r["format"] for r in parsed.select("format").distinct().collect()}  # registered names
+        templates = seed
+        for fmt in [f for f in registered() if f.name in found] + [None] * ("generic" in found):
+            plan = ParsePlan(fmt, None)
+            mine = mine_templates(parsed.where(F.col("format") == (fmt.name if fmt else "generic")), plan.sim_th, plan.depth, templates)
+            templates = materialize(mine, "templates")
+        if templates is None:
+            templates = materialize(mine_templates(parsed), "templates")
+    else:
+        plan = plan_parse(lines, log_format)
+        parsed = materialize(with_signature(parse_with(lines, plan)), "parsed")
+        templates = materialize(mine_templates(parsed, plan.sim_th, plan.depth, seed), "templates")
     events = materialize(assign_templates(parsed, templates), "events")
     return with_params(events), templates
 
@@ -140,4 +158,4 @@ def run_analyze(
 def scan_and_detect(spark: SparkSession, path: str, **options) -> Detection:
     from logweir.sources.lines import scan_log
 
-    return run_detect(scan_log(spark, path, "global"), **options)
+    return run_detect(scan_log(spark, path, "both"), **options)

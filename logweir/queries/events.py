@@ -79,15 +79,6 @@ def scan_template_catalog(spark, sf):
     return L.scan_templates(spark, path)
 
 
-@query("parsed_store")
-def parsed_store(spark, sf):
-    """Parse a folder, then refresh again: nothing is left to parse."""
-    src, store = written_lines(spark, sf), fresh(spark, "store")
-    stores.refresh_events(spark, src, store, "hdfs")
-    ev = stores.refresh_events(spark, src, store, "hdfs")
-    return ev.groupBy("level").agg(F.count("*").alias("events"))
-
-
 # -- parsing -----------------------------------------------------------------
 
 _EV_COLS = "line_id, timestamp, level, component, content, block_id"
@@ -302,6 +293,25 @@ def detect_entity_pattern(spark, sf):
         out = row if out is None else out.unionByName(row)
     return out
 
+@query("parsed_store", f"""
+  select 'hdfs' as format, level, count(*) as events, count(distinct block_id) as blocks
+  from ({with_('ev', 'select * from ev')}) e group by level
+  union all
+  select 'openssh', 'UNKNOWN', count(*), count(distinct regexp_extract(raw, 'sshd\\[(\\d+)\\]', 1))
+  from ({lines_sql('openssh')}) l where regexp_matches(raw, '{_SSH}')
+  union all
+  select 'generic', case when lvl in {LEVELS} then lvl else 'UNKNOWN' end, count(*), count(distinct regexp_extract(raw, '{_REQ}', 1))
+  from ({_generic_sql(f"select 0 as src, 0 as k, line_id, raw from ({lines_sql('iso')}) l", "*")}) g group by 2""")
+def parsed_store(spark, sf):
+    """A folder with logs of three kinds, parsed; then refreshed: nothing is left to parse."""
+    src, store = fresh(spark, "logs"), fresh(spark, "store")
+    for shape in ("hdfs", "openssh", "iso"):
+        rows = lines(spark, sf, shape).repartitionByRange(4, "line_id").sortWithinPartitions("line_id")
+        rows.select(F.col("raw").alias("value")).write.mode("append").text(src)
+    stores.refresh_events(spark, src, store)
+    ev = stores.refresh_events(spark, src, store)
+    return ev.groupBy("format", "level").agg(F.count("*").alias("events"), F.count_distinct("block_id").alias("blocks"))
+
 
 @query("auto_parse", f"""
   select 'hdfs' as shape, line_id, level, block_id from ({with_('ev', 'select * from ev')}) e

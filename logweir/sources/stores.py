@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 from typing import Any
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from logweir.operators.features import FeatureSpace
 from logweir.operators.iforest import Forest
-from logweir.operators.parse import parse_lines
+from logweir.operators.parse import parse_each_file
+from logweir.session import materialize
 from logweir.sources.lines import scan_log
 
 
@@ -22,9 +24,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 # -- parsed events -------------------------------------------------------------
 
+EVENT_STORE = (
+    "path string, line_id long, raw string, format string, timestamp string, level string, component string, "
+    "content string, block_id string, version string"
+)
+MANIFEST = "path string, modified timestamp, size long, version string"
+
+
 def listed_files(spark: SparkSession, src: str) -> DataFrame:
     """(path, modified, size) of the files under a folder, without reading them."""
-    files = spark.read.format("binaryFile").load(src)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(src)
     return files.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("modified"),
@@ -32,34 +41,66 @@ def listed_files(spark: SparkSession, src: str) -> DataFrame:
     )
 
 
+def _new_version() -> str:
+    return f"{datetime.now(timezone.utc).strftime('%Y%m%d%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+
+
+def _publish(spark: SparkSession, aside: str, path: str) -> None:
+    """Make a finished folder visible under its name, in one step."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise RuntimeError(f"{path} could not be published")
+
+
+def _manifest(spark: SparkSession, store: str) -> DataFrame:
+    """The files of the last published refresh, with the version that holds each one's events."""
+    folder = f"{store}/manifests"
+    if not exists(spark, folder):
+        return spark.createDataFrame([], MANIFEST)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/{max(f.getPath().getName() for f in found)}")
+
+
 def refresh_events(
     spark: SparkSession, src: str, store: str, log_format: str = "auto", force: bool = False
 ) -> DataFrame:
-    """Events of all files under ``src``; only files that are new or changed
-    since the last call are parsed.  Each call appends one version of a file to
-    the store, and readers take the newest version of each file."""
-    now = listed_files(spark, src)
-    events, seen = f"{store}/events", f"{store}/files"
-    if exists(spark, seen) and not force:
-        todo = now.join(spark.read.parquet(seen), ["path", "modified", "size"], "left_anti")
-    else:
-        todo = now
-    # the version of a pass orders repeated parses of one file
-    version = datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
-    rows = todo.withColumn("version", F.lit(version)).collect()  # one row per changed file
-    if rows:
-        parsed = parse_lines(scan_log(spark, [r["path"] for r in rows]), log_format)
-        parsed.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(events)
-        spark.createDataFrame(rows).write.mode("append").parquet(seen)
-    # a file that is gone takes its events with it
-    return read_events(spark, store).join(now.select("path"), "path", "left_semi")
+    """Events of all files under ``src``, each parsed in its own format with
+    ``auto``; only files that are new or changed since the last refresh are parsed.
+
+    Events of a refresh go to a folder of their own.  What counts is its manifest,
+    the list of all files with the version of their events, which is written aside
+    and published by a rename: a refresh that fails anywhere before shows nothing,
+    and the next one parses its files again.  Files that are gone are not listed.
+    """
+    now, before = listed_files(spark, src), _manifest(spark, store)
+    if force:
+        before = before.where("false")
+    version, same = _new_version(), ["path", "modified", "size"]
+    state = materialize(now.join(before, same, "left").select(*same, F.coalesce("version", F.lit(version)).alias("version")), "files")
+    todo = [r["path"] for r in state.where(F.col("version") == version).select("path").collect()]  # one name a changed file
+    if todo:
+        parsed = parse_each_file(scan_log(spark, todo), log_format)
+        names = [c.split()[0] for c in EVENT_STORE.split(", ")]
+        parsed.withColumn("version", F.lit(version)).select(*names).write.mode("append").partitionBy("version").parquet(f"{store}/events")
+    elif not force and state.count() == before.count():
+        return read_events(spark, store)
+    aside = f"{store}/_aside/{version}"
+    state.write.parquet(aside)
+    _publish(spark, aside, f"{store}/manifests/{version}")
+    return read_events(spark, store)
 
 
 def read_events(spark: SparkSession, store: str) -> DataFrame:
-    ev = spark.read.option("recursiveFileLookup", "false").parquet(f"{store}/events")
-    ev = ev.withColumn("version", F.col("version").cast("string"))
-    newest = spark.read.parquet(f"{store}/files").groupBy("path").agg(F.max("version").alias("version"))
-    return ev.join(newest, ["path", "version"], "left_semi").drop("version")
+    """The events of the last published refresh."""
+    if not exists(spark, f"{store}/events"):
+        return spark.createDataFrame([], EVENT_STORE).drop("version")
+    ev = spark.read.schema(EVENT_STORE).parquet(f"{store}/events")
+    return ev.join(_manifest(spark, store).select("path", "version"), ["path", "version"], "left_semi").drop("version")
 
 
 # -- templates -----------------------------------------------------------------

@@ -67,6 +67,14 @@ def test_incident_documents_get_defaults(spark, tmp_path):
 LINE = "081109 203518 1 INFO a.b: Receiving block blk_{} now\n"
 
 
+SSHD = "Jun 14 15:16:01 box sshd[{}]: Failed password for root from 10.0.0.1 port 22\n"
+ISO = "2024-01-02T03:04:05Z error [app.main] request_id=req{} gave up\n"
+
+
+def levels(ev):
+    return {(os.path.basename(r.path), r.format, r.level, r.block_id): r["count"] for r in ev.groupBy("path", "format", "level", "block_id").count().collect()}
+
+
 def test_refresh_parses_only_changed_files(spark, tmp_path):
     src, store = tmp_path / "src", str(tmp_path / "store")
     src.mkdir()
@@ -84,6 +92,75 @@ def test_refresh_parses_only_changed_files(spark, tmp_path):
     assert stores.refresh_events(spark, str(src), store, "hdfs", force=True).count() == 6
     (src / "b.log").unlink()
     assert stores.refresh_events(spark, str(src), store, "hdfs").count() == 5
+    (src / "a.log").unlink()
+    (src / "empty.log").write_text("")
+    assert stores.refresh_events(spark, str(src), store).count() == 0
+
+
+def test_each_file_of_a_folder_has_its_format(spark, tmp_path):
+    """Nine files of one kind do not hide the tenth and eleventh."""
+    src, store = tmp_path / "src", str(tmp_path / "store")
+    (src / "deep").mkdir(parents=True)
+    for i in range(9):
+        (src / f"h{i}.log").write_text(LINE.format(i) * 40)
+    (src / "deep" / "s.log").write_text("not sshd\n" + SSHD.format(7) * 29)
+    (src / "i.log").write_text(ISO.format(12345) * 25 + "plain words\n")
+    (src / "short.log").write_text("only words here\n")
+    got = levels(stores.refresh_events(spark, str(src), store))
+    want = {(f"h{i}.log", "hdfs", "INFO", f"blk_{i}"): 40 for i in range(9)}
+    want |= {("s.log", "openssh", "UNKNOWN", "7"): 29, ("i.log", "generic", "ERROR", "req12345"): 25}
+    want |= {("i.log", "generic", "UNKNOWN", ""): 1, ("short.log", "generic", "UNKNOWN", ""): 1}
+    assert got == want
+    assert levels(stores.read_events(spark, store)) == want
+
+
+def test_a_failed_refresh_shows_nothing(spark, tmp_path, monkeypatch):
+    src, store = tmp_path / "src", str(tmp_path / "store")
+    src.mkdir()
+    (src / "a.log").write_text(LINE.format(1) * 3)
+    (src / "b.log").write_text(LINE.format(2) * 2)
+    before = levels(stores.refresh_events(spark, str(src), store))
+    time.sleep(1.1)
+    (src / "a.log").write_text(SSHD.format(5) * 4)
+    (src / "b.log").unlink()
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(stores, "_publish", killed)
+        try:
+            stores.refresh_events(spark, str(src), store)
+        except KeyboardInterrupt:
+            pass
+    assert levels(stores.read_events(spark, store)) == before
+    after = {("a.log", "openssh", "UNKNOWN", "5"): 4}
+    assert levels(stores.refresh_events(spark, str(src), store)) == after == levels(stores.read_events(spark, store))
+
+
+def test_events_of_files_equal_those_of_single_logs(spark, tmp_path):
+    from logweir.operators.parse import parse_each_file, parse_lines
+
+    kinds = {"h": LINE, "s": SSHD, "i": ISO}
+    for k, line in kinds.items():
+        (tmp_path / f"{k}.log").write_text("".join(line.format(10_000 + i) for i in range(30)) + "odd one\n")
+    cols = ["line_id", "timestamp", "level", "component", "content", "block_id"]
+    ev = parse_each_file(L.scan_log(spark, str(tmp_path)))
+    for k in kinds:
+        alone = parse_lines(L.scan_log(spark, str(tmp_path / f"{k}.log")), "auto").select(*cols)
+        assert sorted(alone.collect()) == sorted(ev.where(F.col("path").endswith(f"/{k}.log")).select(*cols).collect())
+
+
+def test_detection_over_files_of_several_formats(spark, tmp_path):
+    from logweir.plans.flows import templated_events
+
+    (tmp_path / "a.log").write_text("".join(LINE.format(i) for i in range(30)))
+    (tmp_path / "b.log").write_text("".join(SSHD.format(i) for i in range(25)))
+    ev, tpl = templated_events(L.scan_log(spark, str(tmp_path), "both"))
+    names = {r.template_id: r.template for r in tpl.collect()}
+    assert sorted(names) == [1, 2] and names[1] == "Receiving block <*> now" and names[2].startswith("Failed password for root")
+    assert {(r.format, r.template_id): r["count"] for r in ev.groupBy("format", "template_id").count().collect()} == {("hdfs", 1): 30, ("openssh", 2): 25}
+    assert ev.agg(F.count_distinct("line_id")).first()[0] == 55
 
 
 def test_template_store_versions_and_clear(spark, tmp_path):

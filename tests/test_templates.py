@@ -89,12 +89,68 @@ def test_result_does_not_depend_on_partitioning(spark):
     assert sorted(a) == sorted(b)
 
 
-def test_chunked_leaves_merge_to_the_same_templates(spark, monkeypatch):
-    lines = [f"worker {w} finished {x} in pool main" for w in ("a", "b", "c", "d") for x in ("scan", "load", "sort", "join", "sum")]
+def leaders_in_order(rows, sim_th):
+    """(leader, template) of token rows, one after another."""
+    leaders, owner = [], []
+    for i, t in enumerate(rows):
+        same = [(sum(a == b != "<*>" for a, b in zip(rows[j], t)), -j) for j in leaders]
+        best = max(same, default=(0, 0))
+        if best[0] < max(1, sim_th * len(t)):
+            leaders.append(i)
+            best = (0, -i)
+        owner.append(-best[1])
+    common = {j: [x if len({r[p] for r, o in zip(rows, owner) if o == j}) == 1 else "<*>" for p, x in enumerate(rows[j])] for j in leaders}
+    return sorted({" ".join(t) for t in common.values()})
+
+
+def soup(n, width, words, seed):
+    rng = random.Random(seed)
+    return ["start " + " ".join(rng.choice(words) for _ in range(width - 1)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("sim_th", [0.4, 0.7])
+def test_leaves_of_any_size_give_the_same_templates(spark, monkeypatch, sim_th):
+    """One leaf of word soup, settled at once and in many batches and chunks."""
+    lines = soup(400, 6, ["read", "write", "sync", "disk", "node", "pool", "job", "lock"], 3)
     ev = as_events(spark, lines)
-    whole = {r.template for r in T.mine_templates(ev).collect()}
-    monkeypatch.setattr(T, "LEAF_CHUNK", 4)
-    assert {r.template for r in T.mine_templates(ev).collect()} == whole == {"worker <*> finished <*> in pool main"}
+    rows = [x.split() for x in dict.fromkeys(lines)]
+    want = leaders_in_order(rows, sim_th)
+    assert len(want) > 2
+    for chunk in (5_000, 100, 60):
+        monkeypatch.setattr(T, "LEAF_CHUNK", chunk)
+        found = T.mine_templates(ev, sim_th).collect()
+        assert sorted(r.template for r in found) == want
+        assert sum(r["size"] for r in found) == len(lines)
+
+
+def test_large_leaves_with_stored_templates(spark, monkeypatch):
+    """Stored templates of one leaf lead in every batch and keep their ids."""
+    lines = soup(300, 5, ["read", "write", "sync", "disk", "node"], 8)
+    first = T.mine_templates(as_events(spark, lines[:100]), 0.7)
+    more = as_events(spark, lines[100:])
+    whole = sorted(T.mine_templates(more, 0.7, seed=first).collect())
+    monkeypatch.setattr(T, "LEAF_CHUNK", 50)
+    assert sorted(T.mine_templates(more, 0.7, seed=first).collect()) == whole
+    old = {r.template_id for r in first.collect()}
+    assert old <= {r.template_id for r in whole} and sum(r["size"] for r in whole) == 300
+
+
+def test_closest_leader_against_all_pairs():
+    rng = random.Random(4)
+    rows = [[rng.choice(["<*>", "a", "b", "c", "d"]) for _ in range(5)] for _ in range(200)]
+    import numpy as np
+    import pandas as pd
+
+    codes, heads = T._codes(pd.Series(rows), pd.Series(rows[::3]))
+    rank, head_rank = np.arange(200), np.arange(0, 200, 3)
+    for least in (1, 2, 4, 5):
+        for pairs in (10, 1 << 20):
+            T.PAIRS, before = pairs, T.PAIRS
+            same, owner = T.closest(codes, rank, heads, head_rank, least)
+            T.PAIRS = before
+            for i, r in enumerate(rows):
+                best = max([(sum(a == b != "<*>" for a, b in zip(rows[j], r)), -j) for j in range(0, i, 3)], default=(0, 1))
+                assert (same[i], owner[i]) == ((best[0], -best[1]) if best[0] >= least else (0, -1))
 
 
 def test_digits_that_never_vary_stay_literal(spark):
