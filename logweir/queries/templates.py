@@ -11,6 +11,7 @@ from logweir.operators import template_quality as Q
 from logweir.operators import templates as T
 from logweir.operators.ids import dense_by_number
 from logweir.queries.base import events, lines, query, r6, table, tevents, wide_table, with_
+from logweir.queries.mined_sql import mined
 from logweir.session import materialize, work_dir
 from logweir.sources import stores
 from logweir.sources.lines import explode_text
@@ -21,7 +22,14 @@ def _parsed(spark, sf):
     return materialize(T.with_signature(events(spark, sf)), "parsed")
 
 
-@query("mine_templates")
+_TPL = "select template_id, template, size, first_line from "
+
+
+def _recursive(body: str, **ctes: str) -> str:
+    return with_("sev", body, **ctes).replace("with ", "with recursive ", 1)
+
+
+@query("mine_templates", _recursive(_TPL + "mt", **mined("sev", "mt")))
 def mine_templates(spark, sf):
     return T.mine_templates(_parsed(spark, sf)).select("template_id", "template", "size", "first_line")
 
@@ -83,7 +91,13 @@ def template_count(spark, sf):
     return T.template_count(T.with_signature(events(spark, sf)), "signature")
 
 
-@query("mine_incremental")
+_HALVES = {
+    "early": "select * from sev where line_id <= (select max(line_id) // 2 from ev)",
+    "late": "select * from sev where line_id > (select max(line_id) // 2 from ev)",
+}
+
+
+@query("mine_incremental", _recursive(_TPL + "m2", **_HALVES, **mined("early", "m1"), **mined("late", "m2", "m1")))
 def mine_incremental(spark, sf):
     """First half, then the whole log on top of the stored templates."""
     ev = _parsed(spark, sf)
@@ -95,7 +109,7 @@ def mine_incremental(spark, sf):
     return T.mine_templates(ev.where(F.col("line_id") > half), seed=seed).select("template_id", "template", "size", "first_line")
 
 
-@query("template_store")
+@query("template_store", _recursive(_TPL + "mt", **mined("sev", "mt")))
 def template_store(spark, sf):
     path = f"{work_dir(spark)}/templates-{uuid.uuid4().hex}"
     stores.save_templates(T.mine_templates(_parsed(spark, sf)), path)
