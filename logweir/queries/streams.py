@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from logweir.queries.base import lines, query, r6, tevents, with_
-from logweir.queries.events import written_lines
-from logweir.session import work_dir
-from logweir.sources.lines import stream_log
+from logweir.session import materialize, work_dir
+from logweir.sources.lines import number_rows
+from logweir.sources.tail import tail_log
+from logweir.streaming import live
 from logweir.streaming import windows as W
-from logweir.streaming.live import stream_windows as live
 
 N = W.WINDOW
 
@@ -77,37 +77,41 @@ def _folder(spark, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("stream_log_source", with_("lines", """
-  select count(*) as lines, cast(sum(len(raw)) as bigint) as characters, cast(count(distinct raw) as bigint) as distinct_lines,
-    true as numbered from lines"""))
+def _append(spark, sf, src: str, low: int, high: int) -> None:
+    """The lines of a range as files of a folder, in line order."""
+    rows = lines(spark, sf).where(F.col("line_id").between(low, high)).repartitionByRange(3, "line_id").sortWithinPartitions("line_id")
+    rows.select(F.concat(F.lit("  "), "raw", F.when(F.col("line_id") % 5 == 0, "\n   ").otherwise("")).alias("value")).write.mode("append").text(src)
+
+
+def _run(query) -> None:
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+@query("stream_log_source", with_("lines", "select line_id, raw, case when line_id <= (select max(line_id) // 2 from lines) then 0 else 1 end as batch from lines"))
 def stream_log_source(spark, sf):
-    """Every line of the written log through the streaming source."""
-    out = _folder(spark, "streamed")
-    q = (
-        stream_log(spark, written_lines(spark, sf)).writeStream.format("parquet")
-        .option("checkpointLocation", _folder(spark, "offsets")).option("path", out).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    """Every line of a growing folder through the streaming source, in two batches and many splits."""
+    src, out, checkpoint = (_folder(spark, n) for n in ("grown", "streamed", "offsets"))
+    total = lines(spark, sf).agg(F.max("line_id")).first()[0]
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    for low, high in ((1, total // 2), (total // 2 + 1, total)):
+        _append(spark, sf, src, low, high)
+        _run(tail_log(spark, src, split=100_000).writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep))
     got = spark.read.parquet(out)
-    per_file = got.groupBy("path").agg(
-        F.count("*").alias("n"), F.count_distinct("line_id").alias("d"), F.max("line_id").alias("last")
-    )
-    numbered = per_file.agg(F.every((F.col("n") == F.col("d")) & (F.col("n") == F.col("last")))).first()[0]
-    return got.agg(
-        F.count("*").alias("lines"), F.sum(F.length("raw")).alias("characters"),
-        F.count_distinct("raw").alias("distinct_lines"), F.lit(numbered).alias("numbered"),
-    )
+    numbered = number_rows(got.select(F.col("source").alias("path"), F.struct("batch", "path", "begin").alias("_start"), "raw", "batch"), "line_id")
+    return numbered.select("line_id", "raw", "batch")
 
 
-@query("stream_count_windows")
+@query("stream_count_windows", with_("ev", _STATS))
 def stream_count_windows(spark, sf):
-    """The written log as a stream of files, two per batch."""
-    out = _folder(spark, "live")
-    sdf = stream_log(spark, written_lines(spark, sf), max_files=2)
-    q = live(sdf, _folder(spark, "templates"), out, _folder(spark, "offsets")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.read.parquet(f"{out}/windows")
-    return got.groupBy("batch_id").agg(
-        F.count("*").alias("windows"), F.sum("lines_processed").alias("lines"), F.sum("events_parsed").alias("events"),
-        F.sum("anomaly_count").alias("anomalies"),
-    )
+    """A growing log as a stream: its windows go on over files and batches; the last one is not full."""
+    src, store, out, checkpoint = (_folder(spark, n) for n in ("grown", "state", "live", "offsets"))
+    total = lines(spark, sf).agg(F.max("line_id")).first()[0]
+    for low, high in ((1, total // 3), (total // 3 + 1, total)):
+        _append(spark, sf, src, low, high)
+        _run(live.stream_windows(tail_log(spark, src), store, out, checkpoint))
+    rest, _ = live.trailing_windows(spark, store)
+    cols = ["window_index", "lines_processed", "events_parsed", "blocks", "error_lines"]
+    return materialize(spark.read.parquet(f"{out}/windows").select(*cols).unionByName(rest.select(*cols)), "windows")

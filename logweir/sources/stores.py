@@ -22,6 +22,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    if not exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return [f.getPath().getName() for f in found]
+
+
+def publish(spark: SparkSession, aside: str, path: str) -> None:
+    """Make a finished folder visible under its name, in one step."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise RuntimeError(f"{path} could not be published")
+
+
 # -- parsed events -------------------------------------------------------------
 
 EVENT_STORE = (
@@ -45,25 +64,12 @@ def _new_version() -> str:
     return f"{datetime.now(timezone.utc).strftime('%Y%m%d%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
 
 
-def _publish(spark: SparkSession, aside: str, path: str) -> None:
-    """Make a finished folder visible under its name, in one step."""
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(new.getParent())
-    if not fs.rename(old, new):
-        raise RuntimeError(f"{path} could not be published")
-
-
 def _manifest(spark: SparkSession, store: str) -> DataFrame:
     """The files of the last published refresh, with the version that holds each one's events."""
-    folder = f"{store}/manifests"
-    if not exists(spark, folder):
+    found = child_names(spark, f"{store}/manifests")
+    if not found:
         return spark.createDataFrame([], MANIFEST)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(folder)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/{max(f.getPath().getName() for f in found)}")
+    return spark.read.schema(MANIFEST).parquet(f"{store}/manifests/{max(found)}")
 
 
 def refresh_events(
@@ -91,7 +97,7 @@ def refresh_events(
         return read_events(spark, store)
     aside = f"{store}/_aside/{version}"
     state.write.parquet(aside)
-    _publish(spark, aside, f"{store}/manifests/{version}")
+    publish(spark, aside, f"{store}/manifests/{version}")
     return read_events(spark, store)
 
 

@@ -128,7 +128,7 @@ def test_a_failed_refresh_shows_nothing(spark, tmp_path, monkeypatch):
         raise KeyboardInterrupt
 
     with monkeypatch.context() as m:
-        m.setattr(stores, "_publish", killed)
+        m.setattr(stores, "publish", killed)
         try:
             stores.refresh_events(spark, str(src), store)
         except KeyboardInterrupt:

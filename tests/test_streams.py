@@ -3,9 +3,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logweir.plans import flows
+from logweir.sources import tail
 from logweir.sources.lines import stream_log
+from logweir.streaming import live
 from logweir.streaming import windows as W
-from logweir.streaming.live import stream_windows
 
 KINDS = ["Receiving block {b} now", "Deleted {b} from disk", "Verified {b} ok today fine"]
 
@@ -65,25 +66,131 @@ def test_shuffle_is_seeded_and_softly_limited(spark):
     assert 30 <= len(a) and len(a) - len(list(per.values())[-1]) < 30
 
 
+def test_lines_of_splits():
+    """Each line is given by the split it begins in, wherever the cuts fall."""
+    import pyarrow as pa
+
+    data = "é first\n\nthird line is longer\nx\nlast without end".encode()
+    f = pa.BufferReader(data)
+    old = tail.BLOCK
+    for block in (1, 3, 1 << 20):
+        tail.BLOCK = block
+        for step in range(1, len(data) + 1):
+            got = [x for at in range(0, len(data), step) for x in tail.lines_from(f, 0, at, min(at + step, len(data)), len(data))]
+            assert got == data.split(b"\n")
+        low = data.index(b"third")
+        for step in range(1, 20):
+            got = [x for at in range(low, len(data), step) for x in tail.lines_from(f, low, at, min(at + step, len(data)), len(data))]
+            assert got == data[low:].split(b"\n")
+    tail.BLOCK = old
+
+
+def run_tail(spark, src, out, checkpoint, **options):
+    batches = []
+
+    def keep(batch, batch_id):
+        batches.append(sorted((r.path.rsplit("/", 1)[1], r.begin, r.raw) for r in batch.collect()))
+
+    q = tail.tail_log(spark, str(src), **options).writeStream.option("checkpointLocation", str(checkpoint)).foreachBatch(keep)
+    q.trigger(availableNow=True).start().awaitTermination()
+    return [b for b in batches if b]
+
+
+def test_appended_files_give_their_new_lines(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.log").write_bytes(b"one\n  two \n\nunfin")
+    (src / ".hidden").write_text("no\n")
+    args = (spark, src, tmp_path / "out", tmp_path / "chk")
+    assert run_tail(*args, hold=1e6) == [[("a.log", 0, "one"), ("a.log", 0, "two")]]
+    with open(src / "a.log", "ab") as f:
+        f.write(b"ished\nfour \xff\n")
+    (src / "b.log").write_text("bee")
+    assert run_tail(*args, hold=1e6) == [[("a.log", 12, "four \ufffd"), ("a.log", 12, "unfinished")]]
+    assert run_tail(*args, hold=-1.0) == [[("b.log", 0, "bee")]]  # settled
+    assert run_tail(*args, hold=-1.0) == []
+
+
+def test_splits_of_a_file_keep_dense_numbers(spark, tmp_path):
+    from logweir.sources.lines import number_rows
+
+    src = tmp_path / "in"
+    src.mkdir()
+    want = [f"line {i} x" + "y" * (i % 13) for i in range(200)]
+    (src / "a.log").write_text("\n".join(want) + "\n")
+    got = []
+
+    def keep(batch, batch_id):
+        rows = batch.select("path", F.col("begin").alias("_start"), "raw")
+        got.extend((r.line_id, r.raw) for r in number_rows(rows, "line_id").collect())
+        assert batch.select("begin").distinct().count() >= 3
+
+    q = tail.tail_log(spark, str(src), split=900).writeStream.option("checkpointLocation", str(tmp_path / "chk")).foreachBatch(keep)
+    q.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == list(enumerate(want, 1))
+
+
+def as_batch(spark, rows, path="s/a.log", begin=0):
+    return spark.createDataFrame([("s", path, begin, r) for r in rows], "source string, path string, begin long, raw string").coalesce(1)
+
+
+def test_windows_go_on_and_batches_repeat_safely(spark, tmp_path, monkeypatch):
+    rows, store, out = log(100), str(tmp_path / "state"), str(tmp_path / "out")
+    s = live.Settings(n=25, n_trees=10)
+
+    def results():
+        got = spark.read.parquet(f"{out}/windows").collect()
+        return sorted((r.batch_id, r.source, r.window_index, r.lines_processed, r.events_parsed, r.anomaly_count) for r in got)
+
+    def sizes(batch):
+        return sorted((r.template, r["size"]) for r in spark.read.parquet(f"{store}/state/batch={batch}/templates").collect())
+
+    live.process_batch(as_batch(spark, rows[:40]), 0, store, out, s)
+    assert [r[:4] for r in results()] == [(0, "s", 0, 25)]
+    one, first = sizes(0), results()
+    live.process_batch(as_batch(spark, rows[:40]), 0, store, out, s)  # after it was published
+    assert (sizes(0), results()) == (one, first)
+    with monkeypatch.context() as m:  # killed just before it is published
+        m.setattr(live, "publish", lambda *_: None)
+        live.process_batch(as_batch(spark, rows[40:90], "s/b.log"), 1, store, out, s)
+    live.process_batch(as_batch(spark, rows[40:90], "s/b.log"), 1, store, out, s)
+    two = sizes(1)
+    assert [r[:4] for r in results()] == [(0, "s", 0, 25), (1, "s", 1, 25), (1, "s", 2, 25)]
+    assert sum(n for _, n in two) == 75
+    live.process_batch(as_batch(spark, []), 2, store, out, s)
+    live.process_batch(as_batch(spark, rows[90:], "s/c.log"), 3, store, out, s)
+    assert [r[2:4] for r in results()] == [(0, 25), (1, 25), (2, 25), (3, 25)]
+    rest, _ = live.trailing_windows(spark, store, s)
+    assert [(r.window_index, r.lines_processed) for r in rest.collect()] == [(4, 15)]
+    assert sum(n for _, n in sizes(3)) == 100
+    # the windows of one batch that holds all
+    live.process_batch(as_batch(spark, rows), 0, str(tmp_path / "s2"), str(tmp_path / "o2"), s)
+    whole = spark.read.parquet(str(tmp_path / "o2" / "windows")).collect()
+    assert sorted((r.window_index, r.lines_processed, r.events_parsed) for r in whole) == [r[2:5] for r in results()]
+
+
 def test_stream_of_files(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     (src / "a.log").write_text("\n".join(log(60)) + "\n")
-    args = (str(tmp_path / "tpl"), str(tmp_path / "out"), str(tmp_path / "chk"), 25)
+    s = live.Settings(n=25, n_trees=10)
 
     def run():
-        q = stream_windows(stream_log(spark, str(src)), *args, n_trees=10).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.parquet(str(tmp_path / "out" / "windows"))
+        q = live.stream_windows(tail.tail_log(spark, str(src)), str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "chk"), s)
+        q.trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.window_index, r.lines_processed) for r in spark.read.parquet(str(tmp_path / "out" / "windows")).collect())
 
-    first = run().collect()
-    assert sorted((r.window_index, r.lines_processed) for r in first) == [(0, 25), (1, 25), (2, 25)]
+    assert run() == [(0, 25), (1, 25), (2, 25)]
     (src / "b.log").write_text("\n".join(log(30)) + "\n")
-    both = run()
-    assert both.count() == 5 and both.agg(F.sum("lines_processed")).first()[0] == 75 + 45
-    from logweir.sources.stores import load_templates
+    assert run() == [(i, 25) for i in range(4)]
+
 
-    assert load_templates(spark, args[0]).count() == 4
+def test_whole_files_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text(" one\n\ntwo\n")
+    q = stream_log(spark, str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.line_id, r.raw) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, "one"), (2, "two")]
 
 
 def test_end_to_end_on_a_small_log(spark):
