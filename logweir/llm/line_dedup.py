@@ -102,9 +102,9 @@ def edit_links(lines: DataFrame, texts: DataFrame, pairs: int = PAIRS) -> DataFr
     while True:
         size = rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if("own").alias("owns")).where("size > 1 and owns > 0")
         met = stored(rows.join(stored(size, "line-bucket-sizes"), "key"), "line-buckets")
-        if kept is None:  # the text of the lines that share a bucket
+        if kept is None:  # the text of the lines that share a bucket; one kind of join, so that costs grow with the input alone
             wanted = stored(met.select("id").distinct(), "line-wanted")
-            kept = stored(texts.join(wanted, "id").groupBy("id").agg(F.first("line").alias("line")).withColumn("n", F.length("line")), "line-candidates")
+            kept = stored(texts.join(wanted.hint("shuffle_hash"), "id").groupBy("id").agg(F.first("line").alias("line")).withColumn("n", F.length("line")), "line-candidates")
         small = met.where(F.col("size") <= pairs)
         own = small.where("own").select("key", F.col("id").alias("u"))
         two = own.join(small.select("key", "own", F.col("id").alias("v")), "key").where("u <> v and (u < v or not own)").select("u", "v").distinct()
@@ -161,7 +161,7 @@ def without_repeated_lines(docs: DataFrame, pairs: int = PAIRS) -> DataFrame:
     key, i, h, g = fresh(docs, "_k", "_id", "_h", "_gone")
     gone = repeated_lines(docs, pairs).select(F.col("doc_id").alias(i), F.col("h").alias(h), F.col("gone").alias(g))
     joined = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h)), "left")
+        gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h)), "left")
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     left = F.expr(f"array_join(filter(split(text, '\n'), (x, no) -> not array_contains({g}, no)), '\n')")
     out = joined.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size(g), F.lit(0)).cast("long")})
