@@ -20,7 +20,6 @@ from logweir.llm.common import stored, words
 
 RISK = 0.05  # share of good documents that may be rejected, per stratum
 LEVEL = 0.05  # probability with which any of these promises may fail
-_INDEX = 0xFFFFFF  # low bits of a sort key that hold the window's number
 
 #: rule: (score, from the mildest to the strictest cutoff, rejected if above).  Fixed values.
 RULES: dict[str, tuple[str, list[float], bool]] = {
@@ -43,13 +42,12 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
         F.length(F.array_join("w", "")).alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).alias("n_symbols"),
         F.expr("transform(if(size(w) < 3, cast(array() as array<int>), sequence(0, size(w) - 3)), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)))").alias("h"))
-    # windows of equal hash stand next to each other once hash and number are sorted
+    # windows of equal hash stand next to each other once (hash, number) pairs are sorted
     d = d.withColumn("s", F.expr(
-        f"if(size(array_distinct(h)) = size(h), cast(array() as array<bigint>), sort_array(transform(h, (x, i) -> (x & ~{_INDEX}L) | i)))"))
-    same = (f"shiftright(x, 24) = shiftright(get(s, {{0}}), 24) and w[x & {_INDEX}] = w[get(s, {{0}}) & {_INDEX}] "
-            f"and w[(x & {_INDEX}) + 1] = w[(get(s, {{0}}) & {_INDEX}) + 1] and w[(x & {_INDEX}) + 2] = w[(get(s, {{0}}) & {_INDEX}) + 2]")
+        "if(size(array_distinct(h)) = size(h), cast(array() as array<struct<x: bigint, i: int>>), sort_array(transform(h, (x, i) -> named_struct('x', x, 'i', i))))"))
+    same = " and ".join(["p.x = s[{0}].x", *(f"w[p.i + {k}] = w[s[{{0}}].i + {k}]" for k in range(3))])
     d = d.withColumn("r", F.expr(
-        f"sort_array(filter(transform(s, (x, j) -> if({same.format('j - 1')} or {same.format('j + 1')}, x & {_INDEX}, null)), p -> p is not null))"))
+        f"sort_array(filter(transform(s, (p, j) -> if(j > 0 and {same.format('greatest(j - 1, 0)')} or j + 1 < size(s) and {same.format('least(j + 1, size(s) - 1)')}, p.i, null)), p -> p is not null))"))
     return d.select(
         "doc_id", *keep, F.col("n").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"),
