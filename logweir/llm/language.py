@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ SAMPLE = 4_000
 SWITCH = 25.0  # log probability that a change of language costs
 FOREIGN = 12.0  # log probability that a letter of a script the language was not seen in costs
 SEEN = 0.005  # share of a language's letters from which a script is one of its own
-CHARS = 2_000_000  # characters that one step works on
+CHARS = 200_000  # characters that one step works on
 
 #: First code points of the blocks of scripts, in order.
 SCRIPTS = [
@@ -132,15 +133,15 @@ def best_paths(scores: np.ndarray, first: np.ndarray, size: np.ndarray, switch:
     return out
 
 
-def _pieces(texts: list[str]) -> Iterator[list[int]]:
+def _pieces(lengths: np.ndarray) -> Iterator[list[int]]:
     """Rows by length, in pieces of about CHARS characters."""
     piece, size = [], 0
-    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
-        if piece and size + len(texts[i]) > CHARS:
+    for i in np.argsort(lengths, kind="stable").tolist():
+        if piece and size + lengths[i] > CHARS:
             yield piece
             piece, size = [], 0
         piece.append(i)
-        size += len(texts[i])
+        size += lengths[i]
     if piece:
         yield piece
 
@@ -169,7 +170,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         seen = {}
         for b in batches:
             lang, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for piece in _pieces(texts):
+            for piece in _pieces(np.array([len(t) for t in texts])):
                 w = read_words([texts[i] for i in piece], abc)
                 word_of = np.repeat(np.arange(len(w.start)), np.diff(np.r_[w.start, len(w.bucket)]))
                 by_letter = np.array([of[lang[i]] for i in piece])[w.doc][word_of]
@@ -216,31 +217,33 @@ def _labelled(texts: list[str], m: Model, switch: float) -> list[tuple]:
     return out
 
 
-def label_spans(docs: DataFrame, model: Model, *keep: str, switch: float = SWITCH) -> DataFrame:
+def label_spans(docs: DataFrame, model: Model, *keep: str, switch: float = SWITCH, names: tuple[str, ...] = ("lang_pred", "score", "spans")) -> DataFrame:
     """doc_id (or the columns of ``keep``), lang_pred, score and spans: the language
     that most letters of a text are labelled with, their share, and the labelled spans
-    in code points.
+    in code points.  ``names`` renames these; two names leave the spans out.
 
     ``und``, 0.0 and no span for a text that is null or has no letter.  Equal
     numbers of letters: the language first in order.  Repeated rows and null ids stay;
     an empty table gives none.  Kept columns of these names are replaced.
     """
-    keep = [c for c in keep or ("doc_id",) if c not in ("lang_pred", "score", "spans")]
-    rows = docs.select(F.coalesce("text", F.lit("")), *keep)
-    fields = [docs.schema[c] for c in keep]
-    kinds = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
+    keep = [c for c in keep or ("doc_id",) if c not in names]
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))  # the text goes over once
+    kinds = [T.StringType(), T.DoubleType(), SPANS][: len(names)]
+    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, k) for n, k in zip(names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        shapes = [pa.string(), pa.float64(), span][: len(names)]
         for b in batches:
-            texts = b.column(0).to_pylist()
-            got: list[tuple] = [()] * len(texts)
-            for piece in _pieces(texts):
-                for i, x in zip(piece, _labelled([texts[i] for i in piece], model, switch)):
-                    got[i] = x
+            column = b.column("text")
+            size = pc.utf8_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            got: list[tuple] = [()] * len(column)
+            for piece in _pieces(size):  # a piece's texts only are held as strings
+                texts = [x or "" for x in column.take(pa.array(piece)).to_pylist()]
+                for i, x in zip(piece, _labelled(texts, model, switch)):
+                    got[i] = x[: len(names)]
             if got:
-                lang, score, spans = zip(*got)
-                new = [pa.array(lang), pa.array(score, pa.float64()), pa.array(spans, span)]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], names=[*keep, "lang_pred", "score", "spans"])
+                new = [pa.array(list(v), k) for v, k in zip(zip(*got), shapes)]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *new], names=[*keep, *names])
 
-    return rows.mapInArrow(run, T.StructType(fields + kinds))
+    return rows.mapInArrow(run, out)
