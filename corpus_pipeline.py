@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import language, line_dedup, mixing, near_copies, tiling
-from logweir.llm.common import stored
+from logweir.llm import language, line_dedup, mixing, simhash, tiling
+from logweir.llm.common import fresh, stored
 
 MAJORITY = 0.5  # share of a text's letters that one language must have
 
@@ -20,9 +20,9 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in one language: those without letters (null and empty
     texts among them) or without a language of most letters go."""
     model = language.learn(docs.where(language.may_learn(F.col("doc_id"))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = language.label_spans(rows, model, "row")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAJORITY)).select("row.*")
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = language.label_spans(docs, model, *docs.columns, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= MAJORITY)).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group of near copies, by fingerprints of three-word shingles at most two bits apart."""
+    return simhash.one_of_each(docs)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
