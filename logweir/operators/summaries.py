@@ -5,7 +5,10 @@ The model itself is a plug-in: any callable from prompt text to answer text.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions import text as X
 from logweir.operators.incidents import PREVIEW_LINES
+from logweir.session import arrow_files
 
 # Prompt sizes, answer limits and prices per million tokens
 JUDGE_LINES = 30
@@ -96,32 +100,81 @@ def call_with_retry(responder: Callable, prompt: str, retries: int, delay: float
             time.sleep(delay * 2**attempt)
 
 
+class Ledger:
+    """Answers that were paid for: one small file a call, under the hash of model and
+    prompt, in a folder that all executors share.  A file is there whole or not at all."""
+
+    def __init__(self, folder: str, model: str = ""):
+        self.folder, self.model = folder, model
+        self.files, self.root = arrow_files(folder)
+
+    def _path(self, prompt: str) -> str:
+        key = hashlib.sha256(f"{len(self.model)}:{self.model}{prompt}".encode()).hexdigest()
+        return f"{self.root}/{key[:2]}/{key}.json"
+
+    def find(self, prompt: str) -> list | None:
+        from pyarrow import fs
+
+        path = self._path(prompt)
+        if self.files.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with self.files.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def keep(self, prompt: str, call: list) -> None:
+        path = self._path(prompt)
+        aside = f"{path}.{uuid.uuid4().hex}"
+        self.files.create_dir(path.rsplit("/", 1)[0])
+        with self.files.open_output_stream(aside) as f:
+            f.write(json.dumps(call).encode())
+        self.files.move(aside, path)
+
+
+CALLS = "incident_id long, answer string, input_tokens long, output_tokens long, latency_ms double, error string"
+
+
 def answer_prompts(
     prompts: DataFrame, responder: Callable[[str], str | tuple[str, int, int]],
-    retries: int = RETRIES, delay: float = FIRST_DELAY, tasks: int | None = None,
+    retries: int = RETRIES, delay: float = FIRST_DELAY, tasks: int | None = None, ledger: str | None = None, model: str = "",
 ) -> DataFrame:
-    """(incident_id, answer, input_tokens, output_tokens, latency_ms,
+    """(incident_id, answer, input_tokens, output_tokens, latency_ms, error,
     estimated_cost_usd): one call per prompt, spread over ``tasks`` tasks.
 
     The responder returns the answer text, or (text, input, output tokens);
-    without counts, whitespace words are counted.
+    without counts, whitespace words are counted.  A prompt whose calls all fail
+    gives a row with ``error`` and no answer.
+
+    Every answer is kept in the ``ledger`` folder as soon as it is there and looked
+    up before a call, so a task or run that is repeated, and a prompt that stands
+    twice, pays for none again.  Failed calls are not kept.  ``model`` tells ledgers
+    of different responders apart.
     """
 
+    def call(prompt: str, book: Ledger | None) -> list:
+        got = book.find(prompt) if book else None
+        if got is None:
+            t0 = time.monotonic()
+            try:
+                said = call_with_retry(responder, prompt, retries, delay)
+            except Exception as problem:  # one row per failure, the other answers stay
+                return [None, 0, 0, round((time.monotonic() - t0) * 1000, 1), f"{type(problem).__name__}: {problem}"]
+            ms = round((time.monotonic() - t0) * 1000, 1)
+            got = [*(said if isinstance(said, tuple) else (said, len(prompt.split()), len(said.split()))), ms, None]
+            if book:
+                book.keep(prompt, got)
+        return got
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = Ledger(ledger, model) if ledger else None
         for pdf in batches:
-            out = []
-            for i, prompt in zip(pdf["incident_id"], pdf["prompt"]):
-                t0 = time.monotonic()
-                got = call_with_retry(responder, prompt, retries, delay)
-                ms = round((time.monotonic() - t0) * 1000, 1)
-                text, n_in, n_out = got if isinstance(got, tuple) else (got, len(prompt.split()), len(got.split()))
-                out.append((i, text, n_in, n_out, ms))
-            yield pd.DataFrame(out, columns=["incident_id", "answer", "input_tokens", "output_tokens", "latency_ms"])
-
-    schema = "incident_id long, answer string, input_tokens long, output_tokens long, latency_ms double"
+            out = [(i, *call(prompt, book)) for i, prompt in zip(pdf["incident_id"], pdf["prompt"])]
+            yield pd.DataFrame(out, columns=["incident_id", "answer", "input_tokens", "output_tokens", "latency_ms", "error"])
+
     n = tasks or prompts.sparkSession.sparkContext.defaultParallelism
-    rows = prompts.select(F.col("incident_id").cast("long"), "prompt").repartition(n, "incident_id")
-    return usage_cost(rows.mapInPandas(run, schema))
+    # equal prompts meet in one task, so that the second finds the answer to the first
+    rows = prompts.select(F.col("incident_id").cast("long"), F.coalesce("prompt", F.lit("")).alias("prompt"))
+    rows = rows.repartition(n, "prompt" if ledger else "incident_id")
+    return usage_cost(rows.mapInPandas(run, CALLS))
 
 
 def _checked(df: DataFrame, schema: str, problem) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +195,8 @@ def parse_summaries(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         missing = missing | s[name].isNull()
     steps = F.exists(s["remediation"], lambda r: r.isNull() | r["action"].isNull() | r["priority"].isNull())
     problem = (
-        F.when(s.isNull() | missing, "missing field")
+        F.when(F.col("answer").isNull(), "no answer")
+        .when(s.isNull() | missing, "missing field")
         .when(steps, "bad remediation")
         .when(~s["severity"].isin(*SEVERITIES), "bad severity")
         .when(~s["confidence"].between(0.0, 1.0), "bad confidence")
@@ -161,7 +215,7 @@ def parse_quality(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     for name in SCORES:
         missing = missing | s[name].isNull()
         outside = outside | ~s[name].between(lo, hi)
-    problem = F.when(s.isNull() | missing, "missing field").when(outside, "score out of range")
+    problem = F.when(F.col("answer").isNull(), "no answer").when(s.isNull() | missing, "missing field").when(outside, "score out of range")
     good, bad = _checked(df, QUALITY_SCHEMA, problem)
     mean = (s["relevance"] + s["specificity"] + s["actionability"]) / 3.0
     return good.select("incident_id", *[s[c].alias(c) for c in (*SCORES, "reasoning")], mean.alias("mean_score")), bad

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from logweir.operators.metrics import detect_totals
 from logweir.operators.formats import file_formats, registered
 from logweir.operators.parse import ParsePlan, parse_files, parse_with, plan_parse
 from logweir.operators.templates import assign_templates, mine_templates, with_params, with_signature
-from logweir.session import materialize
+from logweir.session import materialize, work_dir
 
 
 @dataclass
@@ -131,13 +132,16 @@ def run_summarize(
 ) -> Summaries:
     """Prompt, answer and check every incident; ``judge`` grades the summaries.
 
-    Calls are stored before they are parsed, so no prompt is sent twice.
+    Calls are stored before they are parsed, and each answer is kept in a ledger at
+    once, so no prompt is paid for twice; a ``ledger`` folder among the options
+    makes that hold over several runs.
     """
+    call_options.setdefault("ledger", f"{work_dir(incidents.sparkSession)}/calls-{uuid.uuid4().hex}")
     calls = materialize(S.answer_prompts(S.summary_prompts(incidents), responder, **call_options), "calls")
     good, bad = S.parse_summaries(calls)
     out = Summaries(calls, S.summarized(incidents, good, calls), bad)
     if judge is not None:
-        graded = S.answer_prompts(S.judge_prompts(incidents, good), judge, **call_options)
+        graded = S.answer_prompts(S.judge_prompts(incidents, good), judge, **{**call_options, "model": f"{call_options.get('model', '')}/judge"})
         out.judge_calls = materialize(graded, "judge_calls")
         out.gradings = S.parse_quality(out.judge_calls)[0]
         usage = calls.drop("answer").unionByName(out.judge_calls.drop("answer"))

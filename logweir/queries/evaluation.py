@@ -12,7 +12,7 @@ from logweir.operators import evaluate as E
 from logweir.operators import metrics as M
 from logweir.operators import summaries as S
 from logweir.plans import flows
-from logweir.queries.base import lines, query, r6, table, tevents, with_
+from logweir.queries.base import ORACLES, lines, query, r6, table, tevents, with_
 from logweir.queries.incidents import _INC, _LINES, _members, detection
 from logweir.queries.models import _FLAGGED, _SCORED, _flagged
 from logweir.session import materialize, work_dir
@@ -268,16 +268,48 @@ def stub_judge(prompt: str) -> str:
     ) + "\n```"
 
 
-@query("llm_map")
+def _stub(n: str) -> str:
+    """The stand-in's answer to a prompt of n characters, as SQL."""
+    return f"""'{{"incident_id": 0, "explanation": "' || {n} || ' characters", "severity": "' || case {n} % 3 when 0 then 'low' when 1 then 'medium' else 'high' end ||
+      '", "severity_reasoning": "length", "remediation": [{{"action": "look", "priority": "immediate"}}], "root_cause": "unknown", "confidence": 0.' || ({n} % 10) ||
+      ', "confidence_reasoning": "length"}}'"""
+
+
+def _n_words(text: str) -> str:
+    return f"len(list_filter(string_split_regex({text}, '\\s+'), lambda x: x <> ''))"
+
+
+_TURNS = "select conv_id * 1000 + turn as incident_id, text as prompt from conversations"
+
+
+@query("llm_map", f"""
+  select *, {_COST} as estimated_cost_usd from (
+    select incident_id, answer, {_n_words('prompt')} as input_tokens, {_n_words('answer')} as output_tokens, cast(null as varchar) as error
+    from (select *, {_stub('length(prompt)')} as answer from ({_TURNS}) t) a) b""")
 def llm_map(spark, sf):
     """Every conversation turn answered by the stand-in model."""
     turns = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("incident_id"), F.col("text").alias("prompt")
     )
-    return S.answer_prompts(turns, stub_summary).drop("latency_ms")
+    return S.answer_prompts(turns, stub_summary, ledger=f"{work_dir(spark)}/calls-{uuid.uuid4().hex}").drop("latency_ms")
 
 
-@query("summarize_end_to_end")
+_SUMMED = f"select incident_id, prompt, length(prompt) as n, {_stub('length(prompt)')} as answer from ({ORACLES['build_prompts']}) p"
+_JUDGED = with_("sev", f"""
+  select incident_id, {_sql_text(S.JUDGE_INSTRUCTIONS)} || chr(10) || chr(10) || 'Log lines:' || chr(10) || array_to_string(l[1:30], chr(10)) ||
+    chr(10) || chr(10) || 'Analysis:' || chr(10) || 'Explanation: ' || n || ' characters' || chr(10) ||
+    'Severity: ' || case n % 3 when 0 then 'low' when 1 then 'medium' else 'high' end || chr(10) || 'Root cause: unknown' || chr(10) ||
+    'Remediation:' || chr(10) || '- [immediate] look' as prompt
+  from (select incident_id, list(content order by line_no) as l from il group by incident_id) x join ({_SUMMED}) s using (incident_id)""", **_INC, il=_LINES)
+
+
+@query("summarize_end_to_end", f"""
+  select round(avg(r), 6) as mean_relevance, round(avg(s), 6) as mean_specificity, round(avg(a), 6) as mean_actionability, round((avg(r) + avg(s) + avg(a)) / 3, 6) as mean_quality,
+    any_value(i) as total_input_tokens, any_value(o) as total_output_tokens, any_value(c) as total_cost_usd
+  from (select 1 + length(prompt) % 5 as r, 1 + length(prompt) % 4 as s, 1 + length(prompt) % 3 as a from ({_JUDGED}) j) q,
+    (select cast(sum(input_tokens) as bigint) as i, cast(sum(output_tokens) as bigint) as o, round(sum({_COST}), 6) as c from (
+      select {_n_words('prompt')} as input_tokens, {_n_words('answer')} as output_tokens from ({_SUMMED}) p
+      union all select {_n_words('prompt')}, {len(stub_judge('').split())} from ({_JUDGED}) k) u) w""")
 def summarize_end_to_end(spark, sf):
     out = flows.run_summarize(_previews(spark, sf), stub_summary, stub_judge)
     return r6(out.evaluation.drop("mean_latency_ms"))
@@ -289,7 +321,8 @@ def analyze_end_to_end(spark, sf):
     return out.summaries.select("incident_id", F.round("severity_score", 6).alias("severity_score"), F.col("summary.severity").alias("severity"))
 
 
-@query("write_summaries")
+@query("write_summaries", f"""
+  select incident_id, case n % 3 when 0 then 'low' when 1 then 'medium' else 'high' end as severity, {_n_words('prompt')} as input_tokens from ({_SUMMED}) s""")
 def write_summaries(spark, sf):
     path = f"{work_dir(spark)}/summaries-{uuid.uuid4().hex}"
     out = flows.run_summarize(_previews(spark, sf), stub_summary, stub_judge)

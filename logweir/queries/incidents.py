@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logweir.operators import incidents as I
 from logweir.operators.dbscan import dbscan as run_dbscan
 from logweir.operators.dbscan import number_clusters
+from logweir.operators.metrics import detect_totals as detect_totals_of
 from logweir.operators.neighbors import epsilon_neighbors as eps_counts
 from logweir.plans import flows
 from logweir.queries.base import lines, query, r6, table, tevents, with_
@@ -29,7 +30,19 @@ def _embeddings(spark, sf):
     )
 
 
-@query("dbscan")
+_NEAR = """select a.vec_id as a, b.vec_id as b from e a join e b on sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) <= 0.9"""
+
+
+@query("dbscan", f"""
+  with recursive e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+  near as materialized ({_NEAR}),
+  core as (select a from near group by a having count(*) >= 4),
+  link as materialized (select a, b from near where a in (from core) and b in (from core)),
+  reach(a, root) as (select a, a from core union select l.b, r.root from reach r join link l on l.a = r.a and r.root < l.b),
+  comp as (select a, min(root) as root from reach group by a),
+  own as (select vec_id, coalesce(c.root, (select min(k.root) from near n join comp k on k.a = n.b where n.a = vec_id)) as root from e left join comp c on c.a = vec_id),
+  first as (select root, min(vec_id) as low from own where root is not null group by root)
+  select vec_id, case when root is null then -1 else dense_rank() over (order by low nulls last) - 1 end as label from own left join first using (root)""")
 def dbscan(spark, sf):
     out = number_clusters(materialize(run_dbscan(_embeddings(spark, sf), 0.9, 4, "vec_id"), "clustered"))
     return out.select("vec_id", "label")
@@ -169,32 +182,40 @@ def detection(spark, sf):
 
 
 def _result_files(spark, sf) -> str:
-    """The tables of one detection, written out."""
-    d = detection(spark, sf)
+    """The tables of one detection with incidents that SQL can state, written out."""
+    decided, members = materialize(_flagged(spark, sf), "decided"), _members(spark, sf)
+    ev = tevents(spark, sf)
+    lines_ = materialize(I.incident_lines(members, ev), "incident_lines")
+    incidents = I.enrich(members, lines_)
     path = f"{work_dir(spark)}/detection-{uuid.uuid4().hex}"
-    stores.write_detection(path, d.totals(), d.incidents, d.members, d.incident_lines, d.blocks)
+    stores.write_detection(path, detect_totals_of(ev, ev, decided, incidents), incidents, members, lines_, decided)
     return path
 
 
-@query("write_detection")
+@query("write_detection", with_("sev", """
+  select 'anomaly' as kind, block_id as id, 1 as n, round(anomaly_score, 6) as value from f where is_anomaly
+  union all select 'block', block_id, 1, round(anomaly_score, 6) from n
+  union all select 'incident', cast(incident_id as varchar), count(*), cast(count(distinct template) as double) from il group by incident_id""", **_INC, il=_LINES))
 def write_detection(spark, sf):
     path = _result_files(spark, sf)
-    return spark.read.parquet(f"{path}/anomalies").select("block_id", "event_count", F.round("anomaly_score", 6).alias("anomaly_score"))
-
-
-@query("scan_incidents_json")
+    one = F.lit(1).cast("long").alias("n")
+    rows = spark.read.parquet(f"{path}/anomalies").select(F.lit("anomaly").alias("kind"), F.col("block_id").alias("id"), one, F.round("anomaly_score", 6).alias("value"))
+    blocks = spark.read.parquet(f"{path}/incident_blocks").select(F.lit("block").alias("kind"), F.col("block_id").alias("id"), one, F.round("anomaly_score", 6).alias("value"))
+    docs = read_incidents(spark, f"{path}/incidents").select(
+        F.lit("incident").alias("kind"), F.col("incident_id").cast("string").alias("id"), F.size("log_lines").cast("long").alias("n"), F.size("templates").cast("double").alias("value"))
+    return rows.unionByName(blocks).unionByName(docs)
+
+
+@query("scan_incidents_json", with_("sev", f"""
+  select r.incident_id, blocks, severity, time_from, lines, md5(text) as lines_md5 from (
+    select incident_id, count(*) as blocks, round(greatest(0.0, least(1.0, -avg(anomaly_score))), 6) as severity from n group by incident_id) r
+  join (select incident_id, min(timestamp) as time_from, count(*) as lines, string_agg(content, chr(10) order by line_no) as text from il group by incident_id) l using (incident_id)""", **_INC, il=_LINES))
 def scan_incidents_json(spark, sf):
-    """Written incidents read back as detection documents."""
-    path = f"{work_dir(spark)}/documents-{uuid.uuid4().hex}"
-    rows = spark.read.json(f"{_result_files(spark, sf)}/incidents")
-    span = F.array("time_range.start", "time_range.end")
-    doc = F.to_json(F.struct(F.array(F.struct(
-        "incident_id", "block_ids", "severity", "mean_anomaly_score", "log_lines", "templates", span.alias("time_range")
-    )).alias("incidents")))
-    rows.select(doc.alias("value")).write.text(path)
-    return read_incidents(spark, path, one_per_file=False).select(
+    """Written incidents read back from their documents, all lines in order."""
+    return read_incidents(spark, f"{_result_files(spark, sf)}/incidents").select(
         "incident_id", F.size("block_ids").cast("long").alias("blocks"), F.round("severity", 6).alias("severity"),
-        F.col("time_range.start").alias("time_from"),
+        F.col("time_range.start").alias("time_from"), F.size("log_lines").cast("long").alias("lines"),
+        F.md5(F.array_join("log_lines", "\n").cast("binary")).alias("lines_md5"),
     )
 
 

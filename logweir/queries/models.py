@@ -15,6 +15,7 @@ from logweir.operators.svm import OneClassSvm
 from logweir.operators.sweep import sweep
 from logweir.plans import flows
 from logweir.queries.base import lines, query, r6, tevents, with_
+from logweir.queries.mined_sql import mined
 from logweir.session import materialize, spread, work_dir
 from logweir.sources import stores
 
@@ -135,7 +136,8 @@ def infer(spark, sf):
     return r6(flows.infer(ev, model, space).select("block_id", "score", "anomaly_score", "is_anomaly"))
 
 
-@query("model_store")
+@query("model_store", with_("sev", "select 'forest' as model_name, 'whole' as run_id, 'full' as feature_set, count(*) as vocab_size, 'Forest' as model_type from mt",
+                            **mined("sev", "mt")).replace("with ", "with recursive ", 1))
 def model_store(spark, sf):
     path, _ = _stored_model(spark, sf)
     return stores.model_info(spark, path)

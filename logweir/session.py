@@ -51,6 +51,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_files(path: str):
+    """(file system, path in it) of a folder for code that runs inside tasks."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "file:///" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def spread(df: DataFrame, rows: int, per_task: int = 8_000) -> DataFrame:
     """Give a compute-heavy stage enough tasks; a no-op for data that already
     has them (small tables are otherwise read back as one partition)."""

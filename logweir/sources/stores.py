@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.operators.features import FeatureSpace
@@ -203,13 +206,60 @@ def read_runs(spark: SparkSession, path: str, params: list[str], metrics: list[s
     )
 
 
+# the parts of an incident's document, in order
+_HEAD, _BLOCKS, _TEMPLATES, _LINES = range(4)
+_LISTS = {_BLOCKS: "block_ids", _TEMPLATES: "templates", _LINES: "log_lines"}
+
+
+def write_incident_documents(path: str, incidents: DataFrame, members: DataFrame, lines: DataFrame) -> None:
+    """Detection documents (JSON, one a file) that hold every block, template and line of their incidents.
+
+    A row here is one element of one list.  Rows are dealt to files by incident and
+    sorted, and the text is written as they pass, so neither a row nor a task ever holds
+    an incident, whatever its number of lines.
+    """
+    span = F.array("time_range.start", "time_range.end")
+    head = incidents.select("incident_id", F.lit(_HEAD).alias("part"), F.lit(0).cast("long").alias("no"), F.to_json(F.struct(
+        "incident_id", "severity", "mean_anomaly_score", span.alias("time_range"))).alias("value"))
+
+    def listed(df: DataFrame, part: int, no: Column, value: str) -> DataFrame:
+        return df.select("incident_id", F.lit(part).alias("part"), no.cast("long").alias("no"), F.col(value).alias("value"))
+
+    zero = F.lit(0)
+    templates = lines.where("template <> ''").select("incident_id", "template").distinct()
+    rows = head.unionByName(listed(members, _BLOCKS, zero, "block_id")).unionByName(listed(templates, _TEMPLATES, zero, "template"))
+    rows = rows.unionByName(listed(lines, _LINES, F.col("line_no"), "content"))
+    dealt = rows.repartitionByRange("incident_id").sortWithinPartitions("incident_id", "part", "no", "value")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (incident, part)
+        for b in batches:
+            out = []
+            for incident, part, value in zip(*[b.column(c).to_pylist() for c in ("incident_id", "part", "value")]):
+                if last is None or last[0] != incident:
+                    out.append('{"incidents": [' if last is None else ("}," if last[1] == _HEAD else "]},"))
+                    out.append(value[:-1] if part == _HEAD else "{")
+                    last = (incident, _HEAD)
+                if part != _HEAD:
+                    new = last[1] != part
+                    if new:
+                        out.append(f'{"" if last[1] == _HEAD else "]"}, "{_LISTS[part]}": [')
+                    out.append(("" if new else ",") + json.dumps(value, ensure_ascii=False))
+                last = (incident, part)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(["}]}" if last[1] == _HEAD else "]}]}"])], ["value"])
+
+    dealt.mapInArrow(written, "value string").write.text(path)
+
+
 def write_detection(
     path: str, totals: DataFrame, incidents: DataFrame, members: DataFrame, lines: DataFrame, blk: DataFrame,
     evaluation: DataFrame | None = None,
 ) -> None:
-    """Summary, incidents, their blocks and lines, and the anomalies as tables."""
+    """Summary, whole incident documents, their blocks and lines, and the anomalies as tables."""
     totals.write.json(f"{path}/summary")
-    incidents.write.json(f"{path}/incidents")
+    write_incident_documents(f"{path}/incidents", incidents, members, lines)
     members.write.parquet(f"{path}/incident_blocks")
     lines.write.parquet(f"{path}/incident_lines")
     blk.where("is_anomaly").write.parquet(f"{path}/anomalies")

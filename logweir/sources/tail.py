@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.types import StructType
 
 from logweir.functions import text as X
+from logweir.session import arrow_files
 
 SPLIT = 64 << 20
 HOLD = 10.0  # seconds without a change after which an unfinished last line counts as finished
@@ -30,14 +31,6 @@ BLOCK = 1 << 20
 ROWS = pa.schema([("path", pa.string()), ("begin", pa.int64()), ("value", pa.string())])
 
 
-def _file_system(folder: str):
-    from pyarrow import fs
-
-    if folder.startswith("file:"):
-        folder = "file:///" + folder[5:].lstrip("/")
-    return fs.FileSystem.from_uri(folder)
-
-
 def finished(system, path: str, begin: int, size: int) -> int:
     """The end of the last line that is finished, between two places of a file."""
     with system.open_input_file(path) as f:
@@ -96,7 +89,7 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         from pyarrow import fs
 
-        system, root = _file_system(self.folder)
+        system, root = arrow_files(self.folder)
         ends = {}
         for f in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             name = f.base_name
@@ -114,7 +107,7 @@ class TailReader(DataSourceStreamReader):
         return out
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
-        system, _ = _file_system(self.folder)
+        system, _ = arrow_files(self.folder)
         held, size = [], 0
         with system.open_input_file(partition.path) as f:
             for line in lines_from(f, partition.low, partition.begin, partition.end, partition.size):

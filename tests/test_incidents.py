@@ -165,3 +165,76 @@ def test_large_incident_keeps_all_blocks_and_templates(spark):
     r = I.enrich(members, lines).first()
     assert len(r.block_ids) == len(r.templates) == r.template_count == 500 and len(r.log_lines) == I.PREVIEW_LINES
     assert r.block_ids == sorted(r.block_ids) and r.templates == sorted(r.templates)
+
+
+def test_documents_hold_every_line(spark, tmp_path):
+    """Incidents of 5,000, 3 and no lines, with text that JSON has to escape."""
+    from logweir.sources.lines import scan_incidents
+    from logweir.sources.stores import write_incident_documents
+
+    members = spark.createDataFrame([(i, f"b{i}", -0.25) for i in range(4)] + [(0, "a0", -0.5)], "incident_id long, block_id string, anomaly_score double")
+    text = {0: [f'line "{i}" \\ \u00e9 \t{{}}' for i in range(5_000)], 1: ["one", "two", "two"], 3: ["]}]}"]}
+    rows = [(i, f"b{i}", f"{n:04d}", x, f"t{n % 3}") for i, lines in text.items() for n, x in enumerate(lines)]
+    ev = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], EV)
+    lines = I.incident_lines(members, ev)
+    write_incident_documents(str(tmp_path / "docs"), I.enrich(members, lines), members, lines)
+    got = {r.incident_id: r for r in scan_incidents(spark, str(tmp_path / "docs")).collect()}
+    assert {i: r.log_lines for i, r in got.items()} == {0: text[0], 1: text[1], 2: [], 3: text[3]}
+    assert got[0].block_ids == ["a0", "b0"] and got[0].templates == ["t0", "t1", "t2"] and got[0].time_range.end == "4999"
+    assert got[2].block_ids == ["b2"] and got[2].severity == 0.25
+    write_incident_documents(str(tmp_path / "none"), I.enrich(members.limit(0), lines.limit(0)), members.limit(0), lines.limit(0))
+    assert scan_incidents(spark, str(tmp_path / "none")).count() == 0
+
+
+def prompts(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "incident_id long, prompt string")
+
+
+def test_answers_are_paid_for_once(spark, tmp_path):
+    """A repeated prompt and a repeated run find their answers; a failed prompt gives a row and is asked again."""
+    paid = tmp_path / "paid"
+    paid.mkdir()
+
+    def model(prompt):
+        if "bad" in prompt and not (paid / "fixed").exists():
+            raise ValueError("no luck")
+        (paid / f"{abs(hash(prompt))}-{len(list(paid.iterdir()))}").write_text(prompt)
+        return f"answer to {prompt}", 10, 2
+
+    def run(**options):
+        rows = S.answer_prompts(prompts(spark, "one", "two words", "one", "bad one"), model, 2, 0.0, 3, **options).collect()
+        return {r.incident_id: (r.answer, r.input_tokens, r.error) for r in rows}
+
+    book = str(tmp_path / "ledger")
+    first = run(ledger=book)
+    assert first[0] == first[2] == ("answer to one", 10, None) and first[3] == (None, 0, "ValueError: no luck")
+    assert len(list(paid.iterdir())) == 2
+    (paid / "fixed").write_text("")
+    again = run(ledger=book)
+    assert again[3] == ("answer to bad one", 10, None) and {i: again[i] for i in (0, 1, 2)} == {i: first[i] for i in (0, 1, 2)}
+    assert len(list(paid.iterdir())) == 4
+    run(ledger=book, model="other")
+    assert len(list(paid.iterdir())) == 7
+    assert not list((tmp_path / "ledger").rglob("*.json.*"))
+
+
+def test_a_retried_task_finds_its_answers(spark, tmp_path):
+    """The task dies after its first answer; what it was paid for is there when it is run again."""
+    book = S.Ledger(str(tmp_path / "ledger"))
+    book.keep("one", ["kept", 1, 1, 5.0, None])
+
+    def model(prompt):
+        assert prompt != "one"
+        return "new"
+
+    rows = S.answer_prompts(prompts(spark, "one", "two"), model, 1, 0.0, 1, ledger=str(tmp_path / "ledger")).collect()
+    assert {r.incident_id: r.answer for r in rows} == {0: "kept", 1: "new"}
+
+
+def test_failed_calls_are_rejected_summaries(spark):
+    def model(prompt):
+        raise TimeoutError("slow")
+
+    out = flows.run_summarize(preview(spark), model, model, retries=1)
+    assert out.rejected.first().reason == "no answer" and out.summaries.first().summary is None
+    assert out.calls.first().error == "TimeoutError: slow" and out.usage().first().total_cost_usd == 0
