@@ -34,8 +34,9 @@ def mean_path(n) -> np.ndarray:
     return out
 
 
-def grow_trees(x: np.ndarray, depth: int, rng: np.random.Generator):
+def grow_trees(x: np.ndarray, depth: int, rng: np.random.Generator, copies: np.ndarray | None = None):
     """Grow one tree per sample of ``x`` (trees, rows, features), level by level.
+    ``copies`` says how often each row stands in every sample.
 
     Returns (feature, split, path) heaps; feature is -1 at a leaf, and path
     holds the leaf's depth plus c(rows that ended there).
@@ -58,7 +59,7 @@ def grow_trees(x: np.ndarray, depth: int, rng: np.random.Generator):
         rows, key = rows[order], key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
-        size = np.diff(np.r_[starts, len(key)])
+        size = np.diff(np.r_[starts, len(key)]) if copies is None else np.add.reduceat(copies[rows % n], starts)
         lo = np.minimum.reduceat(flat[rows], starts, axis=0)
         hi = np.maximum.reduceat(flat[rows], starts, axis=0)
         weight = np.where(hi > lo, rng.random(lo.shape), -1.0)

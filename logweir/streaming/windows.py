@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,24 +51,34 @@ def window_min_blocks(ev: DataFrame, n: int = WINDOW, keys: tuple[str, ...] = ()
     return w.agg(F.count_distinct("block_id").alias("blocks")).where(F.col("blocks") >= least)
 
 
-def detect_one_window(
-    pdf: pd.DataFrame, contamination: float, n_trees: int, eps: float, min_samples: int, seed: int
-) -> pd.DataFrame:
-    """Forest, threshold and clusters over the few blocks of one window."""
-    pdf = pdf.sort_values("block_id", ignore_index=True)
-    cols = np.unique(np.concatenate([np.asarray(i, np.int64) for i in pdf["idx"]]))
-    x = np.zeros((len(pdf), len(cols)))
-    for r, (i, v) in enumerate(zip(pdf["idx"], pdf["val"])):
-        x[r, np.searchsorted(cols, i)] = v
+def window_scores(x: np.ndarray, n_trees: int, seed: int) -> np.ndarray:
+    """Forest score of each row of one window.  Up to SUBSAMPLE rows every tree sees all of them, so equal rows, of
+    which a window is full, go down the trees once with their number."""
     n = len(x)
     psi = min(SUBSAMPLE, n)
     depth = int(math.ceil(math.log2(max(psi, 2))))
     rng = np.random.default_rng(seed)
-    sample = np.repeat(x[None], n_trees, 0) if psi == n else np.stack(
-        [x[rng.choice(n, psi, replace=False)] for _ in range(n_trees)]
-    )
     norm = float(mean_path([psi])[0]) or 1.0
-    score = -np.power(2.0, -path_lengths(x, *grow_trees(sample, depth, rng)) / norm)
+    if psi == n:
+        once, back, copies = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+        trees = grow_trees(np.repeat(once[None], n_trees, 0), depth, rng, copies)
+        return -np.power(2.0, -path_lengths(once, *trees) / norm)[back.ravel()]
+    sample = np.stack([x[rng.choice(n, psi, replace=False)] for _ in range(n_trees)])
+    return -np.power(2.0, -path_lengths(x, *grow_trees(sample, depth, rng)) / norm)
+
+
+def detect_one_window(
+    pdf: pd.DataFrame, contamination: float, n_trees: int, eps: float, min_samples: int, seed: int
+) -> pd.DataFrame:
+    """Forest, threshold and clusters over the few blocks of one window."""
+    pdf = pdf.sort_values("block_id", ignore_index=True)
+    n = len(pdf)
+    sizes = pdf["idx"].map(len).to_numpy()
+    flat = np.concatenate([np.asarray(i, np.int64) for i in pdf["idx"]])
+    cols, at = np.unique(flat, return_inverse=True)
+    x = np.zeros((n, len(cols)))
+    x[np.repeat(np.arange(n), sizes), at] = np.concatenate(pdf["val"].to_list())
+    score = window_scores(x, n_trees, seed)
     decision = score - np.percentile(score, 100.0 * contamination)
     hot = np.flatnonzero(decision < 0)
     incident = np.full(n, -1)
@@ -90,22 +101,31 @@ def window_detect(
     incident_id): every window is detected on its own; windows with fewer than
     two blocks give no rows, incident_id is -1 for normal blocks.
 
-    Features are built for all windows at once; a window is at most ``n`` lines,
-    so its forest fits one task.
+    Features are built for all windows at once.  Windows then pass through their
+    tasks one after another, at most ``n`` lines each.
     """
-    k = (*keys, "window_index")
+    k = [*keys, "window_index"]
     win = count_windows(ev, n)
     ready = window_min_blocks(ev, n, keys).select(*k)
-    blk = sparse_features(win, feature_space(win), k).drop("template_ids").join(ready, list(k), "left_semi")
+    blk = sparse_features(win, feature_space(win), tuple(k)).drop("template_ids").join(ready, k, "left_semi")
     schema = blk.drop("idx", "val").schema
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return detect_one_window(pdf, contamination, n_trees, eps, min_samples, seed)
-
-    return fan_out(blk, *k).groupBy(*k).applyInPandas(
-        run, ddl + ", anomaly_score double, is_anomaly boolean, incident_id long"
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the window that may go on in the next batch
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            starts = np.flatnonzero((pdf[k] != pdf[k].shift()).any(axis=1).to_numpy())
+            done = [detect_one_window(pdf.iloc[a:b], contamination, n_trees, eps, min_samples, seed) for a, b in zip(starts, starts[1:])]
+            held = pdf.iloc[starts[-1] :]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None:
+            yield detect_one_window(held, contamination, n_trees, eps, min_samples, seed)
+
+    return fan_out(blk, *k).sortWithinPartitions(*k).mapInPandas(run, ddl + ", anomaly_score double, is_anomaly boolean, incident_id long")
 
 
 def window_results(

@@ -49,6 +49,19 @@ def test_windows_are_detected_apart(spark):
     assert [r.lines_processed for r in res] == [40, 40, 35] and all(r.incident_count <= r.anomaly_count for r in res)
 
 
+def test_equal_rows_of_a_window_go_down_once():
+    """The same trees as with every row on its own, up to chance."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.repeat(np.vstack([rng.normal(size=(6, 3)), [[9, 9, 9]]]), [12, 1, 7, 9, 3, 5, 1], axis=0)
+    once = W.window_scores(x, 3_000, 0)
+    noisy = W.window_scores(x + rng.normal(size=x.shape) * 1e-9, 3_000, 0)  # no two rows are equal
+    sample = np.repeat(x[None], 3_000, 0)
+    every = -np.power(2.0, -W.path_lengths(x, *W.grow_trees(sample, 6, np.random.default_rng(5))) / W.mean_path([len(x)])[0])
+    assert np.abs(once - every).max() < 0.01 and once.argmin() == noisy.argmin() == len(x) - 1
+
+
 def test_one_block_is_not_detected(spark):
     ev, _ = flows.templated_events(as_lines(spark, log(20, blocks=1)[20:]), "hdfs")
     assert W.window_detect(ev, 50, n_trees=5).count() == 0
