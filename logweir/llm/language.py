@@ -9,6 +9,7 @@ corpus.  A language is a candidate for the words of the scripts it was seen in.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,8 @@ SAMPLE = 4_000
 SWITCH = 25.0  # log probability that a change of language costs
 FOREIGN = 12.0  # log probability that a letter of a script the language was not seen in costs
 SEEN = 0.005  # share of a language's letters from which a script is one of its own
-CHARS = 200_000  # characters that one step works on
+CHARS = 800_000  # characters that one step works on
+LONG = 2_000  # words from which a text is labelled in blocks of its own
 
 #: First code points of the blocks of scripts, in order.
 SCRIPTS = [
@@ -133,6 +135,62 @@ def best_paths(scores: np.ndarray, first: np.ndarray, size: np.ndarray, switch:
     return out
 
 
+def long_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """``best_paths`` of one long text, in blocks of about the square root of its words that step together: first what
+    each block makes of each language it may begin with (a max-plus matrix), then from block to block the scores it
+    begins with, then every block's own way back from each language, and from block to block which of them it is."""
+    n, k = scores.shape
+    size = max(1, math.isqrt(n))
+    count = -(-n // size)
+    x = np.zeros((count * size, k))
+    x[:n] = scores
+    x = x.reshape(count, size, k)
+
+    def step(b: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = b.argmax(-1)[..., None]
+        jump = np.take_along_axis(b, top, -1) - switch
+        stay = b >= jump
+        return np.where(stay, b, jump) + add, np.where(stay, np.arange(k), top).astype(np.int16)
+
+    through = np.broadcast_to(np.where(np.eye(k, dtype=bool), 0.0, -np.inf), (count, k, k))  # block, first, last
+    for t in range(size):
+        through, _ = step(through, x[:, t, None, :])
+    start = np.zeros((count, k))
+    for c in range(1, count):
+        start[c] = (start[c - 1][:, None] + through[c - 1]).max(0)
+    back, b = np.zeros((size, count, k), np.int16), start
+    for t in range(size):
+        b, back[t] = step(b, x[:, t])
+    state = np.broadcast_to(np.arange(k), (count, k))  # of the word before, by block and last language
+    for t in range(size - 1, -1, -1):
+        state = np.take_along_axis(back[t], state, 1).astype(np.int64)
+    last = np.zeros(count, np.int64)
+    last[-1] = b[-1].argmax()
+    for c in range(count - 1, 0, -1):
+        last[c - 1] = state[c, last[c]]
+    out = np.zeros((count, size), np.int64)
+    for t in range(size - 1, -1, -1):
+        out[:, t] = last
+        last = back[t][np.arange(count), last].astype(np.int64)
+    return out.ravel()[:n]
+
+
+def _slices(text: str) -> Iterator[tuple[int, str]]:
+    """Parts of a text of about CHARS characters, cut outside of words."""
+    low = 0
+    while low < len(text):
+        inside = lambda i: text[i - 1].isalpha() and text[i].isalpha()
+        high = min(len(text), low + CHARS)
+        while low < high < len(text) and inside(high):
+            high -= 1
+        if high == low:  # a word longer than a part
+            high = min(len(text), low + CHARS)
+            while high < len(text) and inside(high):
+                high += 1
+        yield low, text[low:high]
+        low = high
+
+
 def _pieces(lengths: np.ndarray) -> Iterator[list[int]]:
     """Rows by length, in pieces of about CHARS characters."""
     piece, size = [], 0
@@ -197,31 +255,53 @@ SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.Struc
 
 def _labelled(texts: list[str], m: Model, switch: float) -> list[tuple]:
     """(language, its share of the letters, spans) of each text."""
+    if len(texts) == 1 and len(texts[0]) > CHARS:
+        return [_labelled_long(texts[0], m, switch)]
     w = read_words(texts, m.abc)
     out = [("und", 0.0, [])] * len(texts)
     if not len(w.start) or not m.langs:
         return out
     docs, first, size = np.unique(w.doc, return_index=True, return_counts=True)
-    path = best_paths(m.word_scores(w), first, size, switch)
+    scores, long = m.word_scores(w), size > LONG
+    path = best_paths(scores, first[~long], size[~long], switch)
+    for a, n in zip(first[long], size[long]):
+        path[a : a + n] = long_path(scores[a : a + n], switch)
     ends = np.r_[w.start[1:], len(w.bucket)]
-    local = np.searchsorted(docs, w.doc)
-    votes = np.bincount(local * len(m.langs) + path, weights=ends - w.start, minlength=len(docs) * len(m.langs)).reshape(len(docs), -1)
-    new = np.flatnonzero(np.r_[True, (local[1:] != local[:-1]) | (path[1:] != path[:-1])])
-    last = np.r_[new[1:], len(path)] - 1
-    lo, hi = w.at[w.start[new]], w.at[ends[last] - 1] + 1
-    cut = np.searchsorted(local[new], np.arange(len(docs) + 1))
-    for i, d in enumerate(docs):
-        k = int(votes[i].argmax())
-        spans = [{"lang": m.langs[path[new[j]]], "start": int(lo[j]), "end": int(hi[j])} for j in range(cut[i], cut[i + 1])]
-        out[d] = (m.langs[k], float(votes[i, k] / votes[i].sum()), spans)
+    lo, hi = w.at[w.start], w.at[ends - 1] + 1
+    for d, a, n in zip(docs, first, size):
+        out[d] = _told(path[a : a + n], (ends - w.start)[a : a + n], lo[a : a + n], hi[a : a + n], m)
     return out
 
 
+def _labelled_long(text: str, m: Model, switch: float) -> tuple:
+    """As ``_labelled``, read in parts: of each word only its scores and place are held."""
+    parts = []
+    for off, part in _slices(text):
+        w = read_words([part], m.abc)
+        if len(w.start):
+            ends = np.r_[w.start[1:], len(w.bucket)]
+            parts.append((m.word_scores(w), ends - w.start, w.at[w.start] + off, w.at[ends - 1] + 1 + off))
+    if not parts or not m.langs:
+        return "und", 0.0, []
+    scores, letters, lo, hi = (np.concatenate(c) for c in zip(*parts))
+    return _told(long_path(scores, switch), letters, lo, hi, m)
+
+
+def _told(path: np.ndarray, letters: np.ndarray, lo: np.ndarray, hi: np.ndarray, m: Model) -> tuple:
+    votes = np.bincount(path, weights=letters, minlength=len(m.langs))
+    k = int(votes.argmax())
+    new = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+    last = np.r_[new[1:], len(path)] - 1
+    spans = [{"lang": m.langs[path[a]], "start": int(lo[a]), "end": int(hi[z])} for a, z in zip(new, last)]
+    return m.langs[k], float(votes[k] / votes.sum()), spans
+
+
 def label_spans(docs: DataFrame, model: Model, *keep: str, switch: float = SWITCH, names: tuple[str, ...] = ("lang_pred", "score", "spans")) -> DataFrame:
     """doc_id (or the columns of ``keep``), lang_pred, score and spans: the language
     that most letters of a text are labelled with, their share, and the labelled spans
     in code points.  ``names`` renames these; two names leave the spans out.
 
+    Texts of any length: a long one is read in parts of CHARS characters, and its words are labelled in blocks.
     ``und``, 0.0 and no span for a text that is null or has no letter.  Equal
     numbers of letters: the language first in order.  Repeated rows and null ids stay;
     an empty table gives none.  Kept columns of these names are replaced.
