@@ -60,14 +60,20 @@ def found(text: str, patterns: dict[str, str], docs: DataFrame, when: str) -> Da
         none = F.expr("cast(array() as array<string>)")
         out = out.withColumn(f"{k}_m", F.when(F.expr(when), F.regexp_extract_all(text, p, F.lit(0))).otherwise(none))
         out = out.withColumn(f"{k}_g", F.when(F.size(f"{k}_m") > 0, F.split(F.col(text), p, -1)).otherwise(none))
-    spans = [
-        F.expr(f"""aggregate({k}_m, named_struct('i', 0, 'pos', 0, 'out', cast(array() as
-            array<struct<t:string,s:int,e:int,l:string,r:string>>)), (a, t) -> named_struct('i', a.i + 1,
-            'pos', a.pos + length({k}_g[a.i]) + length(t), 'out', concat(a.out, array(named_struct('t', t,
-            's', a.pos + length({k}_g[a.i]), 'e', a.pos + length({k}_g[a.i]) + length(t),
-            'l', right({k}_g[a.i], {CONTEXT}), 'r', left({k}_g[a.i + 1], {CONTEXT}))))), a -> a.out)""").alias(k)
-        for k in patterns
-    ]
+    # the place of a match is the length of all before it: summed up to the start of its chunk, of about as many
+    # matches as there are chunks, and then from match to match
+    spans = []
+    for k in patterns:
+        out = out.withColumn(f"{k}_n", F.expr(f"transform({k}_m, (t, i) -> length({k}_g[i]) + length(t))"))
+        step = f"cast(ceil(sqrt(size({k}_m))) as int)"
+        one = f"""aggregate(sequence(c * {step}, least((c + 1) * {step}, size({k}_m)) - 1),
+            named_struct('pos', aggregate(slice({k}_n, 1, c * {step}), 0, (x, y) -> x + y), 'out', cast(array() as
+            array<struct<t:string,s:int,e:int,l:string,r:string>>)), (a, i) -> named_struct(
+            'pos', a.pos + {k}_n[i], 'out', concat(a.out, array(named_struct('t', {k}_m[i],
+            's', a.pos + {k}_n[i] - length({k}_m[i]), 'e', a.pos + {k}_n[i],
+            'l', right({k}_g[i], {CONTEXT}), 'r', left({k}_g[i + 1], {CONTEXT}))))), a -> a.out)"""
+        none = "cast(array() as array<struct<t:string,s:int,e:int,l:string,r:string>>)"
+        spans.append(F.expr(f"if(size({k}_m) = 0, {none}, flatten(transform(sequence(0, cast((size({k}_m) - 1) div {step} as int)), c -> {one})))").alias(k))
     return out.select(*docs.columns, *spans)
 
 
@@ -111,9 +117,16 @@ def candidates(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", *[f"c_{k}" for k in KINDS], *[
         F.expr(f"transform(filter(b_{k}, x -> {_valid(k, 'x.t')}), x -> named_struct('kind', {i}, 's', x.s, 'e', x.e))").alias(f"b_{k}")
         for i, k in enumerate(KINDS)])
+    # base spans of a kind are in order and apart, so the last one that begins before a candidate's end tells if any
+    # overlaps it; it is looked for by the first spans of chunks, then in its chunk
+    for k in KINDS:
+        step = f"greatest(1, cast(ceil(sqrt(size(b_{k}))) as int))"
+        d = d.withColumn(f"o_{k}", F.expr(f"if(size(b_{k}) = 0, cast(array() as array<array<struct<kind:int,s:int,e:int>>>), "
+                                          f"transform(sequence(0, cast((size(b_{k}) - 1) div {step} as int)), c -> slice(b_{k}, c * {step} + 1, {step})))"))
+        d = d.withColumn(f"f_{k}", F.expr(f"transform(o_{k}, x -> x[0].s)"))
     loose = [
-        f"""transform(c_{k}, x -> named_struct('kind', {i}, 's', x.s, 'e', x.e,
-            'confirmed', if(exists(b_{k}, b -> b.s < x.e and x.s < b.e), 1, 0), 'f', {_features(k)}))"""
+        f"""transform(c_{k}, x -> named_struct('kind', {i}, 's', x.s, 'e', x.e, 'confirmed',
+            if(coalesce(exists(get(o_{k}, size(filter(f_{k}, s -> s < x.e)) - 1), b -> b.s < x.e and x.s < b.e), false), 1, 0), 'f', {_features(k)}))"""
         for i, k in enumerate(KINDS)]
     return d.select("doc_id", F.concat(*[f"b_{k}" for k in KINDS]).alias("base"), F.expr(f"concat({', '.join(loose)})").alias("loose"))
 
@@ -211,7 +224,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (s, kind, e) in code points, by start, then
     kind (a number in KINDS), then end; spans are those of base and the learned ones.
 
-    A null text is empty.  Each row is judged alone, so repeated rows and null ids
+    A null text is empty; texts may be of any length, and the work on one grows with its matches to the power 1.5.
+    Other columns are ignored.  Each row is judged alone, so repeated rows and null ids
     stay; an empty table gives none.
     """
     c = stored(candidates(docs), "pii-candidates")
