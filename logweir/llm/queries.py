@@ -77,7 +77,8 @@ def op7_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mixed(_table(spark, sf, "documents")).select("doc_id", "source", "n_words", "weight", "copies")
+    """A row for each time the mixture reads a document, with its place in the permutation of blocks."""
+    return mixing.schedule(mixing.mixed(_table(spark, sf, "documents"))).select("doc_id", "source", "n_words", "weight", "copies", "block", "place")
 
 
 @_query

@@ -154,6 +154,40 @@ def test_best_paths_are_best():
         assert tuple(got[f : f + n]) == max(itertools.product(range(3), repeat=int(n)), key=value)
 
 
+def test_long_paths_are_best():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 10, 57, 400):
+        scores = rng.normal(size=(n, 4)) * 3
+        assert (language.long_path(scores, 2.0) == language.best_paths(scores, np.array([0]), np.array([n]), 2.0)).all()
+
+
+def test_texts_in_parts_are_labelled_alike(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.learn(docs)
+    rng, texts = random.Random(3), [r.text or "" for r in docs.collect()]
+    mixed = ["\n".join(rng.choice(texts)[:300] for _ in range(8)) + "x" * 500 for _ in range(20)]
+    whole = [language._labelled([t], model, language.SWITCH)[0] for t in mixed]
+    monkeypatch.setattr(language, "CHARS", 150)
+    assert [language._labelled([t], model, language.SWITCH)[0] for t in mixed] == whole
+    assert all("".join(x for _, x in language._slices(t)) == t for t in mixed)
+
+
+def test_very_long_text(spark):
+    import time
+    import tracemalloc
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.learn(docs)
+    text = " ".join(r.text or "" for r in docs.collect())
+    text = (text * (1 + 5_000_000 // len(text)))[:5_000_000]
+    tracemalloc.start()
+    began = time.monotonic()
+    lang, score, spans = language._labelled([text], model, language.SWITCH)[0]
+    assert time.monotonic() - began < 30 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert 0 < score < 1 and len(spans) > 1_000
+
+
 def test_language_spans(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.learn(docs.where(language.may_learn(F.col("doc_id"))))
@@ -249,6 +283,18 @@ def test_chains_are_collinear_and_best():
         assert cost(got[0]) == pytest.approx(max(map(cost, ordered))) and sorted(x for q in got for x in q) == list(range(len(b)))
 
 
+def test_common_words():
+    rng = random.Random(3)
+    for _ in range(300):
+        x, y = (np.array([rng.randrange(4) for _ in range(rng.randrange(31))], np.uint32) for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for v in x:
+            diag = 0
+            for j, w in enumerate(y):
+                diag, row[j + 1] = row[j + 1], diag + 1 if v == w else max(row[j + 1], row[j])
+        assert chaining.common_words(x, y) == row[-1]
+
+
 def test_repeated_passages(spark, odd, empty):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(3_000)]
