@@ -84,8 +84,7 @@ def incident_templates(lines: DataFrame) -> DataFrame:
 
 
 def incident_time_range(lines: DataFrame) -> DataFrame:
-    """Smallest and largest non-empty timestamp text, plus a parsed start where
-    the text is an ISO timestamp."""
+    """Smallest and largest non-empty timestamp text."""
     ts = F.nullif(F.col("timestamp"), F.lit(""))
     return lines.groupBy("incident_id").agg(
         F.coalesce(F.min(ts), F.lit("")).alias("start"), F.coalesce(F.max(ts), F.lit("")).alias("end")

@@ -77,7 +77,10 @@ def compare_runs(spark, sf):
     return E.compare_runs(runs, ["status", "urgent", "vocab_size"])
 
 
-@query("append_run")
+@query("append_run", with_("sev", """
+  select 'run-' || c as run_id, c as contamination, cast((select count(distinct template) from sev) as varchar) as vocab_size,
+    cast((select count(*) from sev) as varchar) as input_rows
+  from (values ('0.03'), ('0.05')) v(c)"""))
 def append_run(spark, sf):
     """Two detection runs with different settings, logged and compared."""
     path = f"{work_dir(spark)}/runs-{uuid.uuid4().hex}"
@@ -87,9 +90,9 @@ def append_run(spark, sf):
     for c in (0.03, 0.05):
         _, space, blk = flows.detect(ev, c, 100)
         m = run_stats(blk, space.size).first().asDict()
-        stores.append_run(spark, path, "detection", {"contamination": c, "vocab_size": m.pop("vocab_size")}, m, f"run-{c}")
-    runs = stores.read_runs(spark, path, ["contamination", "vocab_size"], ["anomaly_rate", "mean_anomaly_score", "anomaly_count"])
-    return E.compare_runs(runs, ["contamination", "vocab_size", "anomaly_rate", "mean_anomaly_score", "anomaly_count"])
+        stores.append_run(spark, path, "detection", {"contamination": c, "vocab_size": m.pop("vocab_size")}, m, f"run-{c}", ev)
+    runs = stores.read_runs(spark, path, ["contamination", "vocab_size", "input_rows"], ["anomaly_rate", "mean_anomaly_score", "anomaly_count"])
+    return E.compare_runs(runs, ["contamination", "vocab_size", "input_rows"])
 
 
 # -- model answers rendered from the documents -----------------------------------

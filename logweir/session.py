@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +29,32 @@ def get_spark(app: str = "logweir", master: str | None = None, **conf: str) -> S
     return spark
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made in this block go when it ends, also after an error:
+    what is wanted of its results has to be read or written inside."""
+    folder = f"{work_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables (``spark.checkpoint.dir``).
+    """The shared folder for intermediate tables (``spark.checkpoint.dir``, or the
+    folder of the ``scratch`` block in it).
 
     There is no default: a machine-local folder would not be readable by other
     executors.
     """
+    if _SCRATCH.get():
+        return _SCRATCH.get()
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:

@@ -11,6 +11,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from logweir.operators.features import FeatureSpace
 from logweir.operators.iforest import Forest
@@ -190,8 +191,19 @@ def load_vocab_json(spark: SparkSession, path: str) -> FeatureSpace:
 
 # -- runs and results ------------------------------------------------------------
 
-def append_run(spark: SparkSession, path: str, kind: str, params: dict[str, Any], metrics: dict[str, float], run_id: str) -> None:
-    """Add one run to the runs table; parameters and metrics are maps."""
+def fingerprint(df: DataFrame) -> dict[str, str]:
+    """Schema, rows and an order-free hash of a table, as parameters of a run."""
+    h = F.xxhash64(*[F.to_json(F.col(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name) for f in df.schema.fields])
+    row = df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s")).first()
+    return {"input_schema": df.schema.simpleString(), "input_rows": str(row["n"]), "input_hash": f"{(row['x'] or 0) & (1 << 64) - 1:016x}{(row['s'] or 0) & (1 << 64) - 1:016x}"}
+
+
+def append_run(
+    spark: SparkSession, path: str, kind: str, params: dict[str, Any], metrics: dict[str, float], run_id: str, data: DataFrame | None = None
+) -> None:
+    """Add one run to the runs table; parameters and metrics are maps.  ``data`` is the
+    input of the run, whose fingerprint is stored with the parameters."""
+    params = {**params, **(fingerprint(data) if data is not None else {})}
     row = [(run_id, kind, datetime.now(timezone.utc), {k: str(v) for k, v in params.items()},
             {k: float(v) for k, v in metrics.items()})]
     schema = "run_id string, kind string, start_time timestamp, params map<string,string>, metrics map<string,double>"

@@ -204,3 +204,28 @@ def test_runs_table(spark, tmp_path):
     stores.append_run(spark, p, "detection", {}, {"f1": 0.7}, "r2")
     runs = {r.run_id: r for r in stores.read_runs(spark, p, ["contamination"], ["f1"]).collect()}
     assert runs["r1"].contamination == "0.03" and runs["r2"].contamination is None and runs["r2"].f1 == 0.7
+
+
+def test_runs_know_their_input(spark, tmp_path):
+    p, df = str(tmp_path / "runs"), spark.createDataFrame([(1, "a", None), (2, "b", {"k": 1})], "i int, s string, m map<string,int>")
+    a, b = stores.fingerprint(df), stores.fingerprint(df.orderBy("s", ascending=False).repartition(3))
+    assert a == b and a["input_rows"] == "2" and a["input_hash"] != stores.fingerprint(df.where("i = 1"))["input_hash"]
+    assert stores.fingerprint(df.limit(0))["input_hash"] == "0" * 32
+    stores.append_run(spark, p, "detection", {"c": 1}, {}, "r1", df)
+    row = stores.read_runs(spark, p, ["input_rows", "input_hash", "c"], []).first()
+    assert (row.input_rows, row.input_hash, row.c) == ("2", a["input_hash"], "1")
+
+
+def test_scratch_tables_go(spark):
+    from logweir.session import materialize, scratch, work_dir
+
+    base = work_dir(spark)
+    with scratch(spark) as folder:
+        assert materialize(spark.range(5), "inside").count() == 5 and os.listdir(folder.replace("file:", ""))
+    assert not os.path.exists(folder.replace("file:", "")) and work_dir(spark) == base
+    try:
+        with scratch(spark) as folder:
+            materialize(spark.range(5), "inside")
+            raise ValueError
+    except ValueError:
+        assert not os.path.exists(folder.replace("file:", ""))
