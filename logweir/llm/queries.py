@@ -70,6 +70,23 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", _sha("kept").alias("kept_sha256"))
 
 
+#: Windows of 100 bytes by their hexadecimal text; islands of repeated ones; what is left between these.
+ORACLES["op6_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT *, unnest(range(0, greatest(0, len(h) // 2 - 99))) AS i FROM d) x),
+r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM w) x WHERE nth > 1),
+g AS (SELECT *, sum(CASE WHEN i - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island
+      FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r) x),
+s AS (SELECT doc_id, island, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY doc_id, island),
+p AS (SELECT d.doc_id, lo, substr(h, 2 * coalesce(lag(hi) OVER (PARTITION BY d.doc_id ORDER BY lo), 0) + 1,
+        2 * (lo - coalesce(lag(hi) OVER (PARTITION BY d.doc_id ORDER BY lo), 0))) AS part
+      FROM d JOIN (SELECT doc_id, lo, hi FROM s UNION ALL SELECT doc_id, len(h) // 2, NULL FROM d) x USING (doc_id)),
+k AS (SELECT doc_id, string_agg(part, '' ORDER BY lo) AS h FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id) n USING (doc_id)
+"""
+
+
 @_query
 def op7_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.license_notices(_table(spark, sf, "documents"))
@@ -92,6 +109,27 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", _sha("text").alias("kept_sha256"))
 
 
+#: Lines one edit apart agree in their first or their last eight characters.
+ORACLES["op10_line_dedup"] = r"""
+WITH RECURSIVE a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL),
+l AS (SELECT * FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS MATERIALIZED (SELECT line, row_number() OVER (ORDER BY line) AS id, length(line) AS n FROM (SELECT DISTINCT line FROM l) x),
+c AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b, x.line AS p, y.line AS q FROM u x JOIN u y ON left(x.line, 8) = left(y.line, 8) AND x.id < y.id WHERE x.n >= 20 AND y.n >= 20 AND abs(x.n - y.n) <= 1
+  UNION SELECT x.id, y.id, x.line, y.line FROM u x JOIN u y ON right(x.line, 8) = right(y.line, 8) AND x.id < y.id WHERE x.n >= 20 AND y.n >= 20 AND abs(x.n - y.n) <= 1),
+e AS MATERIALIZED (SELECT a, b FROM c WHERE levenshtein(p, q) <= 1),
+both_ways AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(id, root) AS (SELECT a, a FROM both_ways UNION SELECT w.b, r.root FROM reach r JOIN both_ways w ON w.a = r.id),
+root AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+o AS (SELECT doc_id, no, coalesce(root, u.id) AS root FROM l JOIN u USING (line) LEFT JOIN root r ON r.id = u.id),
+g AS (SELECT doc_id, no FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY doc_id, no) AS nth FROM o) x WHERE nth > 1),
+k AS (SELECT a.doc_id, coalesce(string_agg(a.line, chr(10) ORDER BY a.no) FILTER (WHERE g.no IS NULL), '') AS kept, count(g.no) AS n_removed
+      FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.no = a.no GROUP BY a.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id) n USING (doc_id)
+"""
+
+
 @_query
 def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = _table(spark, sf, "conversations")
