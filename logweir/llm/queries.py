@@ -103,6 +103,38 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def _quality_sql() -> str:
+    """Counts by words and windows as rows; exact binomial tails as sums over lgamma."""
+    score = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words",
+             "long_words": "word_chars / n_words", "short_words": "word_chars / n_words"}
+    rules = ", ".join(f"('{r}', {c}, {x!r}e0, {above})" for r, (_, cuts, above) in quality.RULES.items() for c, x in enumerate(cuts))
+    scores = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, {x} AS score FROM m WHERE n_words > 0" for r, x in score.items())
+    share, n_rules = quality.RISK / len(quality.RULES), len(quality.RULES)
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}e0) + (n - i) * ln(1 - {share!r}e0))"
+    return rf"""
+WITH w AS (SELECT doc_id, lang, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, coalesce(text, '') AS t FROM documents),
+v AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM w) x),
+z AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times FROM v) x, (VALUES (0), (1), (2)) d(k) WHERE times > 1 GROUP BY doc_id),
+c AS (SELECT w.doc_id, lang, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(z.n, 0) AS n_repeat_words FROM w LEFT JOIN z USING (doc_id)),
+m AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+s AS ({scores}),
+good AS (SELECT doc_id FROM m WHERE NOT base_failed AND n_words > 0 AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+total AS (SELECT lang, count(*) AS n FROM m WHERE doc_id IN (FROM good) GROUP BY lang),
+rules(rule, c, cutoff, above) AS (VALUES {rules}),
+tried AS (SELECT total.lang, n, r.rule, r.c, r.cutoff, (SELECT count(*) FROM s WHERE s.rule = r.rule AND s.lang IS NOT DISTINCT FROM total.lang AND doc_id IN (FROM good)
+  AND CASE WHEN above THEN score > cutoff ELSE score < cutoff END) AS k FROM total, rules r),
+tails AS (SELECT *, CASE WHEN k > n * {share!r}e0 THEN 0 ELSE ln(list_sum(list_transform(range(0, k + 1), lambda i: {term}))) END > ln({quality.LEVEL!r}e0 / ((SELECT count(*) FROM total) * {n_rules})) AS fails FROM tried),
+best AS (SELECT lang, rule, max_by(cutoff, c) AS cutoff FROM (SELECT *, min(CASE WHEN fails THEN c END) OVER (PARTITION BY lang, rule) AS stop FROM tails) x WHERE c < coalesce(stop, 1000) GROUP BY lang, rule),
+bad AS (SELECT DISTINCT doc_id FROM s JOIN best b ON s.rule = b.rule AND s.lang IS NOT DISTINCT FROM b.lang
+  WHERE CASE WHEN (SELECT any_value(above) FROM rules WHERE rules.rule = b.rule) THEN score > cutoff ELSE score < cutoff END)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (FROM bad) AS kept FROM m
+"""
+
+
+ORACLES["op9_quality"] = _quality_sql()
+
+
 @_query
 def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = line_dedup.without_repeated_lines(_table(spark, sf, "documents"))
