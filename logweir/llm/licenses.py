@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
+#: Between paragraphs: lines that are blank, or hold nothing but the marks of a comment.
+BREAK = r"\\n[ \\t\\r#*/;%-]*\\n"
 
 #: Notices of common licences.
 TEMPLATES: list[tuple[str, str]] = [
@@ -91,7 +93,8 @@ def probe_words(sets: list[list[str]], dice: float) -> list[str]:
 
 def license_notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice: float = DICE) -> DataFrame:
     """(doc_id, unit, number, license, dice): the best template of every line and
-    every paragraph (lines between blank ones, if more than one) that reaches ``dice``.
+    every paragraph (lines between those that are blank or hold comment marks alone, if
+    more than one) that reaches ``dice``.
 
     Ties go to the template that is first by name.  Null and empty texts and units of
     one word match nothing.  Repeated rows and null ids stay; other columns go.
@@ -105,7 +108,7 @@ def license_notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     probes = "(?i)(?<![a-z0-9])(?:" + "|".join(probe_words([s for _, s in sets], dice)) + ")(?![a-z0-9])"
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(F.col("t").rlike(probes))
     lines = "transform(split(t, '\\n'), (x, i) -> named_struct('unit', 'line', 'number', i, 'x', x))"
-    paragraphs = "transform(split(t, '\\n[ \\t\\r]*\\n'), (x, i) -> named_struct('unit', 'paragraph', 'number', i, 'x', x))"
+    paragraphs = f"transform(split(t, '{BREAK}'), (x, i) -> named_struct('unit', 'paragraph', 'number', i, 'x', x))"
     both = F.expr(f"concat({lines}, filter({paragraphs}, p -> contains(trim('\\n' from p.x), '\\n')))")
     # explode keeps the filters that follow from being moved below, where they would make the bigrams again
     w = F.transform(F.filter(both, lambda u: u["x"].rlike(probes)), lambda u: F.struct(u["unit"].alias("unit"), u["number"].alias("number"), F.array_remove(
@@ -120,11 +123,16 @@ def license_notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
             ok = ok | F.size(u["g"]).between(lo, hi)
         return ok
 
+    def within(size: int):
+        (low, high), = size_bounds([size], dice)
+        return F.size("g").between(low, high)
+
     g = d.select("doc_id", F.explode(F.filter(g, fits)).alias("u")).select("doc_id", "u.*")
     every = F.array(*[F.lit(x) for x in sorted({b for _, s in sets for b in s})])
     g = g.where(F.arrays_overlap("g", every))
     scores = [
-        F.struct((2.0 * F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in s]))) / (F.size("g") + len(s))).alias("dice"),
+        # only within the template's own size bounds is the intersection made
+        F.struct(F.when(within(len(s)), 2.0 * F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in s]))) / (F.size("g") + len(s))).otherwise(0.0).alias("dice"),
                  F.lit(-i).alias("first"), F.lit(n).alias("license")) for i, (n, s) in enumerate(sets)]
     best = F.filter(F.array(F.array_max(F.array(*scores))), lambda x: x["dice"] >= dice - 1e-12)
     return g.select("doc_id", "unit", "number", F.explode(best).alias("best")).select("doc_id", "unit", "number", "best.license", "best.dice")

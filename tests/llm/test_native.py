@@ -147,7 +147,7 @@ def test_quality_odd_rows(spark, odd, empty):
 def best_notices(t):
     sets = sorted((n, sorted(licenses.bigrams(licenses.normal_words(x)))) for n, x in licenses.TEMPLATES)
     units = [("line", i, x) for i, x in enumerate((t or "").split("\n"))]
-    units += [("paragraph", i, x) for i, x in enumerate(re.split(r"\n[ \t\r]*\n", t or "")) if "\n" in x.strip("\n")]
+    units += [("paragraph", i, x) for i, x in enumerate(re.split(r"\n[ \t\r#*/;%-]*\n", t or "")) if "\n" in x.strip("\n")]
     out = []
     for u, i, x in units:
         g = licenses.bigrams(licenses.normal_words(x))
@@ -173,6 +173,16 @@ def test_license_notices(spark, odd, empty):
     assert licenses.license_notices(odd).count() == 0 and licenses.license_notices(empty).count() == 0
 
 
+def test_notice_in_a_comment_block(spark):
+    """A header in comment marks, whose blank lines hold a mark alone."""
+    notice = next(t for n, t in licenses.TEMPLATES if t.startswith("This program is free software"))
+    words = notice.split()
+    lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+    text = "\n".join(["# A program for something else", "#", *[f"# {x}" for x in lines], "#", "# You should have received a copy of it", "x = 1"])
+    got = licenses.license_notices(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.unit, r.license, round(r.dice, 3)) for r in got if r.unit == "paragraph"] == [("paragraph", "GPL-3.0", 1.0)]
+
+
 # -- lines -----------------------------------------------------------------------------------
 
 def edits(a, b):
