@@ -295,6 +295,42 @@ def test_common_words():
         assert chaining.common_words(x, y) == row[-1]
 
 
+def test_room_bounds_what_a_pair_can_be_drawn_out():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        x, y = (rng.integers(0, 3, rng.integers(5, 40)).astype(np.uint64) << np.uint64(40) for _ in range(2))
+        i, j = rng.integers(0, len(x) - chaining.SEED + 1, 20), rng.integers(0, len(y) - chaining.SEED + 1, 20)
+        got = chaining.room(chaining.around(x, i), chaining.around(y, j))
+        for a, b, g in zip(i, j, got):
+            left = next((k for k in range(chaining.MARGIN) if a - k < 1 or b - k < 1 or x[a - k - 1] != y[b - k - 1]), chaining.MARGIN)
+            ends = [v[c + chaining.SEED :] for v, c in ((x, a), (y, b))]
+            right = next((k for k, (v, w) in enumerate(zip(*ends)) if v != w), min(map(len, ends)))
+            assert g >> 8 >= min(left, chaining.MARGIN) and g & 255 >= min(right, chaining.MARGIN)
+
+
+def test_pairs_of_no_passage_go():
+    rng = random.Random(6)
+    for _ in range(60):
+        least = rng.choice([12, 30])
+        rows = sorted({(rng.randrange(2), 0, rng.randrange(3), 0, rng.randrange(150), rng.randrange(9)) for _ in range(rng.randrange(1, 40))})
+        o, s, so, ss, p, _ = (np.array(c) for c in zip(*rows))
+        wide = np.array([rng.randrange(5) * 256 + rng.randrange(5) for _ in rows])
+        covered = set()  # words that a chain may hold, with the places between them
+        for k, r in enumerate(rows):
+            end = r[4] + chaining.SEED + wide[k] % 256
+            for q in rows:
+                if q[:4] == r[:4] and r[4] < q[4] <= r[4] + chaining.GAP + chaining.SEED:
+                    end = max(end, q[4])
+            covered |= {(r[0], 2 * w + h) for w in range(max(0, r[4] - wide[k] // 256), end + 1) for h in (0, 1) if w < end or not h}
+        for k, ok in enumerate(chaining.may_repeat(o, s, so, ss, p, wide, least)):
+            lo = hi = 2 * rows[k][4]
+            while (rows[k][0], lo - 1) in covered:
+                lo -= 1
+            while (rows[k][0], hi + 1) in covered:
+                hi += 1
+            assert ok == (hi - lo >= 2 * least)
+
+
 def test_repeated_passages(spark, odd, empty):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(3_000)]
