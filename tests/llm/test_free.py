@@ -384,6 +384,62 @@ def test_edited_passages(spark):
     assert got <= set(range(1, len(rows), 2)) and len(got) >= 0.95 * len(rows) / 2
 
 
+def _all_pairs(rows):
+    """The passages by chains of every document with every earlier one, on all seeds they share."""
+    out, seen = {}, []
+    for doc, text in rows:
+        w, first = chaining.Reader().words([text.encode()])
+        seeds = {}
+        for h, at in zip(*map(np.concatenate, zip(chaining.seeds_of(w, first), chaining.long_seeds(w, first)))):
+            seeds.setdefault(h, []).append(int(at))
+        spans, w = [], (w >> np.uint64(32)).astype(np.uint32)
+        for v, others in seen:
+            pairs = sorted({(x, y) for h in seeds.keys() & others.keys() for x in seeds[h] for y in others[h]})
+            b, a = [x for x, _ in pairs], [y for _, y in pairs]
+            for part in (c for chain in chaining.chains(b, a) for c in chaining._cut(b, a, chain)):
+                lo, hi, s_lo, s_hi, n = chaining.aligned(w, v, [x for x, _ in part], [y for _, y in part])
+                if n >= chaining.SAME * max(hi - lo, s_hi - s_lo):
+                    spans.append((lo, hi))
+        seen.append((w, seeds))
+        merged = []
+        for lo, hi in sorted(spans):
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        if merged := [(lo, hi) for lo, hi in merged if hi - lo >= chaining.LEAST]:
+            out[doc] = merged
+    return out
+
+
+def test_passages_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(0)
+    words, few = [f"w{i}" for i in range(3_000)], [f"v{i}" for i in range(6)]
+    passages, line = [rng.choices(words, k=rng.randrange(30, 90)) for _ in range(6)], rng.choices(words, k=12)
+    rows = []
+    for i in range(120):
+        t = rng.choices(words, k=rng.randrange(10, 60))
+        for _ in range(rng.randrange(4)):
+            r = rng.random()
+            if r < 0.5:  # a piece of a passage, edited
+                p = list(rng.choice(passages))
+                x = rng.randrange(len(p) // 2 + 1)
+                p = p[x : rng.randrange(x + 8, len(p) + 9)]
+                for _ in range(rng.randrange(7)):
+                    p[rng.randrange(len(p))] = rng.choice(words)
+            else:
+                p = line if r < 0.8 else [rng.choice(few)] * rng.randrange(3, 120) if r < 0.9 else rng.choices(few, k=rng.randrange(8, 40))
+            t += p + rng.choices(words, k=rng.randrange(12))
+        rows.append((i, " ".join(t)))
+    rows += [(120 + i, rows[7 * i][1]) for i in range(9)]
+    want, docs = _all_pairs(rows), spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(want) > 15
+    for part, meet in ((chaining.PART, chaining.MEET), (200, 50)):  # any number of tasks gives the same
+        monkeypatch.setattr(chaining, "PART", part)
+        monkeypatch.setattr(chaining, "MEET", meet)
+        assert {r.doc_id: [tuple(p) for p in r.passages] for r in chaining.repeated_passages(docs).collect()} == want
+
+
 # -- mixing ----------------------------------------------------------------------------------------------
 
 def test_mixture_meets_its_targets(spark, odd, empty):
