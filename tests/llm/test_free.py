@@ -440,6 +440,26 @@ def test_passages_are_those_of_all_pairs(spark, monkeypatch):
         assert {r.doc_id: [tuple(p) for p in r.passages] for r in chaining.repeated_passages(docs).collect()} == want
 
 
+def test_copies_and_a_common_line_leave_nothing_open(spark, monkeypatch):
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(50_000)]
+    whole, line = rng.choices(words, k=100), rng.choices(words, k=12)
+    rows = [(i, " ".join(whole if i % 2 else rng.choices(words, k=20) + line + rng.choices(words, k=20))) for i in range(120)]
+    sizes, keep = [], chaining.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(chaining, "stored", counted)
+    got = {r.doc_id: [tuple(p) for p in r.passages] for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: [(0, 100)] for i in range(3, 120, 2)}
+    # copies have no seeds among the others, and a short line alone is met by nothing
+    known = [name for name, _ in sizes].index("known-passages")
+    assert all(n <= 6 * 60 for _, n in sizes) and all(n == 0 for name, n in sizes[known + 1 :] if name != "passages")
+
+
 # -- mixing ----------------------------------------------------------------------------------------------
 
 def test_mixture_meets_its_targets(spark, odd, empty):
