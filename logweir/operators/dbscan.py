@@ -16,10 +16,12 @@ from logweir.operators.neighbors import (
     CHUNK,
     Cells,
     build_cells,
+    close_pairs,
     compare,
     distinct_points,
     epsilon_counts,
     matrix,
+    sized,
     within,
 )
 from logweir.session import materialize
@@ -40,21 +42,38 @@ def local_roots(ok: np.ndarray) -> np.ndarray:
     return root
 
 
+def star_links(edges: pd.DataFrame) -> pd.DataFrame:
+    """Edges (u, v) that connect the same nodes: each to the smallest of its component."""
+    n = len(edges)
+    ends, ids = pd.factorize(np.concatenate([edges["u"].to_numpy(), edges["v"].to_numpy()]), sort=True)
+    u, v = ends[:n], ends[n:]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    tied = root != np.arange(len(ids))
+    return pd.DataFrame({"u": ids[tied], "v": ids[root[tied]]})
+
+
 def _star_edges(cells: Cells, eps: float) -> DataFrame:
     pid = cells.points.schema["pid"].dataType.simpleString()
 
-    def kernel(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        pts = pd.concat([b, q]).drop_duplicates("pid").sort_values("pid", ignore_index=True)
-        if not len(pts):
-            return pd.DataFrame({"u": pd.Series(dtype=object), "v": pd.Series(dtype=object)})
-        x = matrix(pts["vec"])
-        root = local_roots(within(x, x, eps))
-        ids = pts["pid"].to_numpy()
-        tied = root != np.arange(len(ids))
-        return pd.DataFrame({"u": ids[tied], "v": ids[root[tied]]})
+    def kernel(b: pd.DataFrame, bx: np.ndarray, q: pd.DataFrame, qx: np.ndarray) -> pd.DataFrame:
+        qp, bp, links = q["pid"].to_numpy(), b["pid"].to_numpy(), [no_links]
+        for i, j in close_pairs(qx, bx, eps):
+            links.append(star_links(pd.DataFrame({"u": qp[i], "v": bp[j]})))
+        return star_links(pd.concat(links)) if len(links) > 2 else links[-1]
 
+    no_links = pd.DataFrame({"u": pd.Series(dtype=object), "v": pd.Series(dtype=object)})
     queries = cells.points.drop("sub").withColumn("reach", F.lit(float(eps)))
-    found = compare(cells, queries, "reach", kernel, f"u {pid}, v {pid}", inner=eps / 2)
+    found = compare(cells, queries, "reach", kernel, f"u {pid}, v {pid}", inner=eps / 2, merge=star_links)
     # points within eps/2 of one pivot all reach each other: one star, no pairs
     inside = cells.points.where(F.col("dist") <= eps / 2)
     hub = inside.groupBy("cell").agg(F.min("pid").alias("v"))
@@ -65,21 +84,22 @@ def _star_edges(cells: Cells, eps: float) -> DataFrame:
 def _border_roots(cells: Cells, border: DataFrame, roots: DataFrame, eps: float) -> DataFrame:
     """Smallest component root within reach of each non-core point."""
     pid = cells.points.schema["pid"].dataType.simpleString()
-    rooted = Cells(
-        cells.points.join(roots.select(F.col("node").alias("pid"), "root"), "pid"),
-        cells.pivots, cells.radius, cells.subs, cells.n,
-    )
+    points = cells.points.drop("sub").join(roots.select(F.col("node").alias("pid"), "root"), "pid")
+    rooted = sized(materialize(points, "rooted"), cells.pivots, cells.n)
+
+    def kernel(b: pd.DataFrame, bx: np.ndarray, q: pd.DataFrame, qx: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(b["root"].to_numpy(), kind="stable")
+        root, first = b["root"].to_numpy()[order], np.full(len(q), len(b))
+        for i, j in close_pairs(qx, bx[order], eps):
+            np.minimum.at(first, i, j)
+        hit = first < len(b)
+        return pd.DataFrame({"pid": q["pid"][hit], "root": root[first[hit]]})
 
-    def kernel(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(b) or not len(q):
-            return pd.DataFrame({"pid": pd.Series(dtype=object), "root": pd.Series(dtype=object)})
-        b = b.sort_values("root", ignore_index=True)
-        ok = within(matrix(q["vec"]), matrix(b["vec"]), eps)
-        hit = ok.any(1)
-        return pd.DataFrame({"pid": q["pid"][hit], "root": b["root"].to_numpy()[ok.argmax(1)[hit]]})
+    def smallest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.groupby("pid", as_index=False, sort=False)["root"].min()
 
     queries = border.withColumn("reach", F.lit(float(eps))).withColumn("root", F.lit(None).cast(pid))
-    found = compare(rooted, queries, "reach", kernel, f"pid {pid}, root {pid}", ("root",))
+    found = compare(rooted, queries, "reach", kernel, f"pid {pid}, root {pid}", ("root",), merge=smallest)
     return found.groupBy("pid").agg(F.min("root").alias("root"))
 
 
@@ -120,10 +140,7 @@ def cluster_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame
         core = materialize(epsilon_counts(cells, eps).where(F.col("n") >= min_samples).select("pid"), "core")
     graph = cells
     if core is not None:
-        graph = Cells(
-            materialize(cells.points.join(core, "pid", "left_semi"), "corepts"),
-            cells.pivots, cells.radius, cells.subs, cells.n,
-        )
+        graph = sized(materialize(cells.points.drop("sub").join(core, "pid", "left_semi"), "corepts"), cells.pivots, n)
     linked = connected_components(_star_edges(graph, eps))
     alone = graph.points if core is not None else graph.points.where("mult >= 2")
     alone = alone.select("pid").join(linked.select(F.col("node").alias("pid")), "pid", "left_anti")

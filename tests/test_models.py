@@ -137,6 +137,40 @@ def test_hot_point_and_dense_blob(spark, monkeypatch):
     assert [n[i] for i in range(120)] == (d <= 0.5).sum(1).tolist()
 
 
+@pytest.mark.parametrize("ms", [2, 4])
+def test_neighbourhoods_without_copies_of_the_points(spark, monkeypatch, ms):
+    """Where every point has to look into most cells, no point is sent to them: nothing is exploded or shuffled by cell."""
+    monkeypatch.setattr(NB, "CHUNK", 10)
+    monkeypatch.setattr(DB, "CHUNK", 10)
+    monkeypatch.setattr(NB, "MERGE_ROWS", 40)
+    rng = np.random.default_rng(ms)
+    x = np.vstack([rng.normal(size=(90, 8)).round(1), np.zeros((20, 8)), rng.normal(size=(30, 8)) * 0.05 + 2])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "block_id long, features array<double>")
+    cells = NB.build_cells(NB.distinct_points(df))
+    plan = NB.epsilon_counts(cells, 1.5)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "FlatMapGroupsInPandas" not in plan
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    n = {r.block_id: r.n_neighbors for r in NB.epsilon_neighbors(df, 1.5).collect()}
+    assert [n[i] for i in range(140)] == (d <= 1.5).sum(1).tolist()
+    got = {r.block_id: r.cluster for r in DB.dbscan(df, 1.5, ms).collect()}
+    assert [-1 if got[i] is None else got[i] for i in range(140)] == brute_dbscan(x, 1.5, ms).tolist()
+
+
+@pytest.mark.parametrize("copies", [0, 1000])
+def test_nearest_neighbours_by_chunks_and_by_product(spark, monkeypatch, copies):
+    monkeypatch.setattr(NB, "CHUNK", 20)
+    monkeypatch.setattr(NB, "COPIES", copies)
+    monkeypatch.setattr(NB, "MERGE_ROWS", 100)
+    x = np.random.default_rng(6).normal(size=(150, 6))
+    rows = [(f"b{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    cells = NB.build_cells(NB.distinct_points(spark.createDataFrame(rows, "block_id string, features array<double>")))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got = {(int(r.pid[1:]), int(r.other[1:])): r.d for r in NB.nearest_neighbors(cells, 5).collect()}
+    assert set(got) == {(i, int(j)) for i in range(150) for j in np.argsort(d[i])[:5]}
+    assert all(v == pytest.approx(d[i, j], rel=1e-9) for (i, j), v in got.items())
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40) if i != 20]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
