@@ -1,6 +1,8 @@
+import os
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +227,26 @@ def test_tuning_rows(spark):
     for r in out:
         want, ids = strict_tree(separated(120, 2), r.sim_th, r.depth)
         assert r.n_templates == len(want)
+
+
+def test_mining_sends_a_text_once_and_keeps_one_row_a_leader(spark, monkeypatch):
+    """Lines are counted by the hash of their signature, rounds of a large leaf leave one table, whole leaves come back as leaders."""
+    rows = [(i, f"go {'abcdefgh'[i % 8]} {i % 4} {'uvw'[i % 3]} {'pqrst'[i % 5]} {'xyz'[i % 7 % 3]}") for i in range(60)]
+    ev = T.with_signature(spark.createDataFrame(rows, "line_id long, content string"))
+    plan = T.distinct_signatures(ev)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [x.split("Aggregate [", 1)[1].split("],")[0] for x in plan.split("\n") if "Aggregate [" in x]
+    assert keys and not any("signature" in x or "regexp" in x for x in keys)
+    want = sorted((tuple(r.tokens), r["size"], r.first_line) for r in T.mine_templates(ev).collect())
+    assert sum(n for _, n, _ in want) == 60 and any(T.W in t for t, _, _ in want)
+    stored, real = [], T.materialize
+    monkeypatch.setattr(T, "LEAF_CHUNK", 5)
+    monkeypatch.setattr(T, "materialize", lambda df, name: stored.append((name, real(df, name))) or stored[-1][1])
+    assert sorted((tuple(r.tokens), r["size"], r.first_line) for r in T.mine_templates(ev).collect()) == want
+    rounds = [df for name, df in stored if name == "open-rows"]
+    folders = [os.path.dirname(f[len("file:"):]) for df in rounds for f in df.inputFiles()[:1]]
+    assert len(folders) > 1 and [os.path.exists(f) for f in folders] == [False] * (len(folders) - 1) + [True]
+    pdf = pd.DataFrame({
+        "leaf": ["l"] * 3, "sim_th": 0.4, "tokens": [["a", "b", "c"], ["a", "b", "d"], ["x", "y", "z"]], "size": [2, 3, 1],
+        "first_line": [5, 4, 9], "seed_id": [-1, -1, -1], "rank": [1, 2, 3], "bucket": 0})
+    out = T._settled(pdf, ["leaf"])
+    assert [(r.owner, r.tokens, r.size, r.first_line) for r in out.itertuples()] == [(1, ["a", "b", T.W], 5, 4), (3, ["x", "y", "z"], 1, 9)]
