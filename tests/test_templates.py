@@ -240,13 +240,13 @@ def test_mining_sends_a_text_once_and_keeps_one_row_a_leader(spark, monkeypatch)
     assert sum(n for _, n, _ in want) == 60 and any(T.W in t for t, _, _ in want)
     stored, real = [], T.materialize
     monkeypatch.setattr(T, "LEAF_CHUNK", 5)
-    monkeypatch.setattr(T, "materialize", lambda df, name: stored.append((name, real(df, name))) or stored[-1][1])
+    monkeypatch.setattr(T, "materialize", lambda df, name, *how: stored.append((name, real(df, name, *how))) or stored[-1][1])
     assert sorted((tuple(r.tokens), r["size"], r.first_line) for r in T.mine_templates(ev).collect()) == want
     rounds = [df for name, df in stored if name == "open-rows"]
     folders = [os.path.dirname(f[len("file:"):]) for df in rounds for f in df.inputFiles()[:1]]
     assert len(folders) > 1 and [os.path.exists(f) for f in folders] == [False] * (len(folders) - 1) + [True]
     pdf = pd.DataFrame({
-        "leaf": ["l"] * 3, "sim_th": 0.4, "tokens": [["a", "b", "c"], ["a", "b", "d"], ["x", "y", "z"]], "size": [2, 3, 1],
-        "first_line": [5, 4, 9], "seed_id": [-1, -1, -1], "rank": [1, 2, 3], "bucket": 0})
+        "leaf": ["l"] * 3, "sim_th": 0.4, "text": ["a b c", "a b d", "x y z"], "size": [2, 3, 1],
+        "first_line": [5, 4, 9], "seed_id": [-1, -1, -1], "bucket": 0})
     out = T._settled(pdf, ["leaf"])
-    assert [(r.owner, r.tokens, r.size, r.first_line) for r in out.itertuples()] == [(1, ["a", "b", T.W], 5, 4), (3, ["x", "y", "z"], 1, 9)]
+    assert [(r.text, r.size, r.first_line) for r in out.itertuples()] == [(f"a b {T.W}", 5, 4), ("x y z", 1, 9)]
