@@ -329,3 +329,22 @@ def test_nearest_neighbours_are_exact_far_from_the_origin(spark, width):
     got = {(int(r.pid[1:]), int(r.other[1:])): r.d for r in NB.nearest_neighbors(cells, 5).collect()}
     assert set(got) == {(i, int(j)) for i in range(60) for j in np.argsort(d[i])[:5]}
     assert all(v == pytest.approx(d[i, j], rel=1e-6) for (i, j), v in got.items())
+
+
+def test_shares_of_one_class_svm_are_fitted_together(spark, monkeypatch):
+    """A sweep reads the rows as often for three shares as for the one that takes longest, with the same scores."""
+    import logweir.operators.svm as SV
+
+    df = frame(spark, cloud(120)).cache()
+    nus, passes, real = [0.02, 0.1, 0.3], [], SV.sum_rows
+    monkeypatch.setattr(SV, "sum_rows", lambda *a, **k: passes.append(1) or real(*a, **k))
+    alone, one = [], []
+    for nu in nus:
+        passes.clear()
+        one.append({r.block_id: r.score for r in OneClassSvm(nu, 40).score(df).collect()})
+        alone.append(len(passes))
+    passes.clear()
+    together = [{r.block_id: r.score for r in out.collect()} for out in OneClassSvm(n_components=40).score_all(df, nus)]
+    assert len(passes) == max(alone) < sum(alone)
+    for a, b in zip(one, together):
+        assert all(b[k] == pytest.approx(v, abs=1e-6) for k, v in a.items())
