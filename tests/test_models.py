@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,13 @@ def test_nearest_neighbours_by_chunks_and_by_product(spark, monkeypatch, copies)
     assert all(v == pytest.approx(d[i, j], rel=1e-9) for (i, j), v in got.items())
 
 
+def test_links_of_a_dense_chunk_are_one_star():
+    pairs = pd.DataFrame([(u, v) for u in range(3, 30) for v in range(30, 60)] + [(1, 2), (70, 71), (71, 2)], columns=["u", "v"])
+    got = DB.star_links(pairs)
+    assert sorted(zip(got.u, got.v)) == [(2, 1), *[(i, 3) for i in range(4, 60)], (70, 1), (71, 1)]
+    assert not len(DB.star_links(pairs[:0]))
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40) if i != 20]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
